@@ -106,8 +106,7 @@ def txt10(spark, d):
 
 @query("txt11_printed_percent", ctes("ing") + "SELECT id, pos, CASE WHEN percent0 <= 100.0 / pos THEN percent0 END AS percent FROM ing")
 def txt11(spark, d):
-    items = n.with_printed_percent(n.parse_list(F.col("ingredients_text")))
-    return derived(spark, d, "txt").select("id", F.explode(items).alias("x")).select("id", "x.pos", "x.percent")
+    return n.printed_percent_items(derived(spark, d, "txt"), F.col("ingredients_text")).select("id", "x.pos", "x.percent")
 
 
 WORDS = [("Rings", ["ring", "red"]), ("Bolts", ["bolt", "cold b"]), ("Plates", ["plate", "hot"]), ("Tools", ["gear", "gizmo", "anvil"]), ("New goods", ["new"])]

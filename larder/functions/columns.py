@@ -83,10 +83,8 @@ def renamed(col: Column, names: dict[str, str]) -> Column:
 def store_of(*url_like: Column) -> Column:
     """Store named in the last URL-like column; the raw URL when no known store is in it."""
     url = F.coalesce(*[F.when(c.contains("http"), c) for c in reversed(url_like)], F.lit("null"))
-    out = F.when(url.contains("tesco"), F.when(url.contains("tesco.ie"), "tesco ireland").otherwise("tesco"))
-    for s in [s for s in STORES if s != "tesco"]:
-        out = F.when(out.isNull() & url.contains(s), s).otherwise(out)
-    return F.coalesce(out, url)
+    tesco = F.when(url.contains("tesco.ie"), "tesco ireland").when(url.contains("tesco"), "tesco")
+    return F.coalesce(tesco, *[F.when(url.contains(s), s) for s in STORES if s != "tesco"], url)
 
 
 def plausible_percent(percent: Column, pos: Column, slack: float = 0.0) -> Column:
