@@ -58,12 +58,12 @@ def agg04(spark, d):
 
 @query(
     "agg05_supported_mean",
-    ctes("ingprod") + """SELECT aisle, shelf, food_category, pos, CASE WHEN avg(percent0) <= 100.0 / pos THEN round(avg(percent0), 6) END AS mean_percent FROM ingprod
+    ctes("ingprod") + """SELECT aisle, shelf, food_category, pos, CASE WHEN avg(percent0) <= 100.0 / pos THEN round(avg(percent0), 9) END AS mean_percent FROM ingprod
       GROUP BY 1, 2, 3, 4 HAVING sum(CASE WHEN percent0 IS NOT NULL AND percent0 <> 0 THEN 1 ELSE 0 END) >= 10""",
 )
 def agg05(spark, d):
     out = s.supported_mean(derived(spark, d, "ingprod"), ["aisle", "shelf", "food_category"], "pos", "percent0")
-    return out.withColumn("mean_percent", F.round("mean_percent", 6))
+    return out.withColumn("mean_percent", F.round("mean_percent", 9))
 
 
 @query(
@@ -225,12 +225,12 @@ def win11(spark, d):
 
 @query(
     "cmp13_position_means",
-    ctes("ingprod") + """SELECT department, aisle, shelf, pos, round(avg(percent0), 6) AS mean_percent, count(percent0) AS n, CAST(3 - grouping(aisle) - grouping(shelf) AS INT) AS depth
+    ctes("ingprod") + """SELECT department, aisle, shelf, pos, round(avg(percent0), 9) AS mean_percent, count(percent0) AS n, CAST(3 - grouping(aisle) - grouping(shelf) AS INT) AS depth
       FROM ingprod GROUP BY GROUPING SETS ((department, pos), (department, aisle, pos), (department, aisle, shelf, pos))""",
 )
 def cmp13(spark, d):
     out = s.position_means(derived(spark, d, "ingprod"), "pos", "percent0", ["department", "aisle", "shelf"])
-    return out.withColumn("mean_percent", F.round("mean_percent", 6))
+    return out.withColumn("mean_percent", F.round("mean_percent", 9))
 
 
 _REG = """

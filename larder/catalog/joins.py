@@ -98,7 +98,7 @@ def jon08(spark, d):
     ctes("ingprod") + """, s AS (SELECT retailer, department, aisle, shelf, avg(percent0) AS v FROM ingprod WHERE pos = 7 GROUP BY 1, 2, 3, 4),
     a AS (SELECT retailer, department, aisle, avg(percent0) AS v FROM ingprod WHERE pos = 7 GROUP BY 1, 2, 3),
     e AS (SELECT retailer, department, avg(percent0) AS v FROM ingprod WHERE pos = 7 GROUP BY 1, 2)
-    SELECT i.id, i.pos, round(coalesce(i.percent0, s.v, a.v, e.v), 6) AS percent FROM ingprod i
+    SELECT i.id, i.pos, round(coalesce(i.percent0, s.v, a.v, e.v), 9) AS percent FROM ingprod i
     LEFT JOIN s ON s.retailer = i.retailer AND s.department = i.department AND s.aisle = i.aisle AND s.shelf = i.shelf
     LEFT JOIN a ON a.retailer = i.retailer AND a.department = i.department AND a.aisle = i.aisle
     LEFT JOIN e ON e.retailer = i.retailer AND e.department = i.department""",
@@ -108,7 +108,7 @@ def jon10(spark, d):
     seventh = i.where("pos = 7")
     levels = [["retailer", "department", "aisle", "shelf"], ["retailer", "department", "aisle"], ["retailer", "department"]]
     tables = [(seventh.groupBy(*k).agg(F.avg("percent0").alias("percent")), k) for k in levels]
-    return r.first_filled(i, tables, "percent").select("id", "pos", F.round("percent", 6).alias("percent"))
+    return r.first_filled(i, tables, "percent").select("id", "pos", F.round("percent", 9).alias("percent"))
 
 
 @query(
@@ -253,12 +253,12 @@ def win04(spark, d):
     "win06_monotone_repair",
     ctes("ing") + """, x AS (SELECT id, pos, (true_percent * 7) % 10 AS v, percent0 IS NOT NULL AS keep FROM ing),
     s AS (SELECT *, sum(CASE WHEN keep THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos DESC) AS seg FROM x)
-    SELECT id, pos, round(max(v) OVER (PARTITION BY id, seg ORDER BY pos DESC), 6) AS percent FROM s""",
+    SELECT id, pos, round(max(v) OVER (PARTITION BY id, seg ORDER BY pos DESC), 9) AS percent FROM s""",
 )
 def win06(spark, d):
     x = derived(spark, d, "ing").select("id", "pos", ((F.col("true_percent") * 7) % 10).alias("v"), F.col("percent0").isNotNull().alias("keep"))
     # kept values start a new segment, so they keep their own value
-    return li.monotone_repair(x, ["id"], "pos", "v", "keep", "percent").select("id", "pos", F.round("percent", 6).alias("percent"))
+    return li.monotone_repair(x, ["id"], "pos", "v", "keep", "percent").select("id", "pos", F.round("percent", 9).alias("percent"))
 
 
 @query(
@@ -266,12 +266,12 @@ def win06(spark, d):
     ctes("ing") + """, k AS (SELECT id, pos, percent0 AS v FROM ing WHERE percent0 IS NOT NULL),
     b AS (SELECT i.id, i.pos, i.percent0, max(a.pos) AS pa, min(z.pos) AS pz FROM ing i LEFT JOIN k a ON a.id = i.id AND a.pos <= i.pos
           LEFT JOIN k z ON z.id = i.id AND z.pos >= i.pos GROUP BY i.id, i.pos, i.percent0)
-    SELECT b.id, b.pos, round(CASE WHEN pa = pz THEN b.percent0 ELSE a.v + (z.v - a.v) / (pz - pa) * (b.pos - pa) END, 6) AS percent
+    SELECT b.id, b.pos, round(CASE WHEN pa = pz THEN b.percent0 ELSE a.v + (z.v - a.v) / (pz - pa) * (b.pos - pa) END, 9) AS percent
     FROM b LEFT JOIN k a ON a.id = b.id AND a.pos = pa LEFT JOIN k z ON z.id = b.id AND z.pos = pz""",
 )
 def win07(spark, d):
     i = derived(spark, d, "ing").select("id", "pos", "percent0")
-    return li.interpolate_gaps(i, ["id"], "pos", "percent0", "percent").select("id", "pos", F.round("percent", 6).alias("percent"))
+    return li.interpolate_gaps(i, ["id"], "pos", "percent0", "percent").select("id", "pos", F.round("percent", 9).alias("percent"))
 
 
 @query(
