@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.catalog.registry import query
+from larder.catalog.registry import query, rounded, rounded_sql
 from larder.fixtures import ctes, derived
 from larder.operators import regression as rg
 from larder.operators import relational as r
@@ -172,10 +172,10 @@ def agg18(spark, d):
     return both.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
-@query("agg19_log_product", ctes("ing") + "SELECT id, round(exp(sum(ln(1 + true_percent / 100))), 6) AS x FROM ing GROUP BY 1")
+@query("agg19_log_product", ctes("ing") + f"SELECT id, {rounded_sql('exp(sum(ln(1 + true_percent / 100)))', 6)} AS x FROM ing GROUP BY 1")
 def agg19(spark, d):
     i = derived(spark, d, "ing").withColumn("x", 1 + F.col("true_percent") / 100)
-    return s.product_of(i, ["id"], ["x"]).withColumn("x", F.round("x", 6))
+    return s.product_of(i, ["id"], ["x"]).select("id", rounded("x", 6))
 
 
 _ERR = {"shelf": "aisle, shelf", "aisle": "aisle", "dep": "department"}

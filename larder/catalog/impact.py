@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.catalog.registry import query
+from larder.catalog.registry import query, rounded, rounded_sql
 from larder.fixtures import ctes, derived
 from larder.functions.draws import MODULUS, draw_sql, key_number_sql, normal_sql, uniform_sql
 from larder.operators import health as he
@@ -87,7 +87,7 @@ def env04(spark, d):
     ctes("lca") + """, s AS (SELECT *, CASE WHEN food_category = 'PROMO' THEN food_category_sub || ' Cheese' ELSE food_category_sub END AS sub FROM lca)
     , z AS (SELECT food_category AS c, sub, weight, ghg FROM s UNION ALL SELECT 'Flakes', sub, weight, ghg / 0.8 FROM s WHERE food_category = 'SMALL' UNION ALL SELECT 'Butter, Cream & Ghee', sub, weight, ghg FROM s WHERE food_category = 'MEDIUM'
       UNION ALL SELECT 'Salt', NULL, 1.0, 0.0 UNION ALL SELECT 'Water', NULL, 1.0, 0.0)
-    SELECT CASE WHEN c = 'MEDIUM' THEN 'Milk' ELSE c END AS food_category, count(*) AS n, count(sub) AS n_sub, round(sum(weight), 6) AS weight, round(sum(ghg), 4) AS ghg FROM z GROUP BY 1""",
+    SELECT CASE WHEN c = 'MEDIUM' THEN 'Milk' ELSE c END AS food_category, count(*) AS n, count(sub) AS n_sub, round(sum(weight), 6) AS weight, """ + rounded_sql("sum(ghg)", 4) + " AS ghg FROM z GROUP BY 1",
 )
 def env03(spark, d):
     obs = derived(spark, d, "lca")
@@ -97,7 +97,7 @@ def env03(spark, d):
     subs = obs.select("food_category", F.col("obs_id").cast("string").alias("product_details"), F.col("sub").alias("food_category_sub"), F.lit(None).cast("string").alias("food_category_sub_sub"))
     ratios = spark.createDataFrame([("Flakes", "SMALL", *[0.8] * 7)], ["derived", "original", *lc.INDICATORS])
     out = lc.assembled(details, subs, ratios)
-    return out.groupBy("food_category").agg(F.count("*").alias("n"), F.count("food_category_sub").alias("n_sub"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.sum("ghg"), 4).alias("ghg"))
+    return out.groupBy("food_category").agg(F.count("*").alias("n"), F.count("food_category_sub").alias("n_sub"), F.round(F.sum("weight"), 6).alias("weight"), F.sum("ghg").alias("ghg")).select("food_category", "n", "n_sub", "weight", rounded("ghg", 4))
 
 
 _FOODS = """, foods AS (SELECT id AS product, CASE WHEN food_category IN ('SMALL', 'PROMO') THEN 'Fish' ELSE food_category END AS fc, food_category_sub AS s1, food_category_sub_sub AS s2, CASE WHEN pos % 2 = 0 THEN 'Organic' ELSE 'Not Organic' END AS organic, sum(true_percent) AS amount FROM ing GROUP BY ALL)"""
@@ -192,9 +192,9 @@ def _totals(spark, d, reps):
     return mc.product_impacts(mc.ingredient_impacts(mc.sampled(_brewed(spark, d), _lca(spark, d), reps=reps)))
 
 
-@query("mc05_product_totals", _draws_sql(4) + _TOTALS + "SELECT product, rep, " + ", ".join(f"round({i}, 10) AS {i}" for i in lc.INDICATORS) + " FROM tot")
+@query("mc05_product_totals", _draws_sql(4) + _TOTALS + "SELECT product, rep, " + ", ".join(f"{rounded_sql(i, 6)} AS {i}" for i in lc.INDICATORS) + " FROM tot")
 def mc05(spark, d):
-    return _r(_totals(spark, d, 4), ["product", "rep"], *lc.INDICATORS, digits=10)
+    return _totals(spark, d, 4).select("product", "rep", *[rounded(i, 6) for i in lc.INDICATORS])
 
 
 _SCORED = """, wm AS (SELECT fc, sum(ghg * weight) / sum(weight) AS ghg, sum(eut * weight) / sum(weight) AS eut, sum(watscar * weight) / sum(weight) AS watscar, sum(land * weight) / sum(weight) AS land FROM obs GROUP BY 1)
@@ -209,23 +209,24 @@ def mc06(spark, d):
 
 @query(
     "mc07_statistics",
-    _draws_sql(20) + _TOTALS + f"""SELECT product, round(avg(ghg), 10) AS mean_ghg, round(stddev_samp(ghg) / sqrt(20), 9) AS se_ghg, round(avg(ghg) - 2.0930240544082634 * stddev_samp(ghg) / sqrt(20), 8) AS lower_ci_ghg, round(avg(land), 10) AS mean_land FROM tot GROUP BY 1""",
+    _draws_sql(20) + _TOTALS + f"""SELECT product, {rounded_sql('avg(ghg)', 6)} AS mean_ghg, {rounded_sql('stddev_samp(ghg) / sqrt(20)', 6)} AS se_ghg,
+      {rounded_sql('avg(ghg) - 2.0930240544082634 * stddev_samp(ghg) / sqrt(20)', 5)} AS lower_ci_ghg, {rounded_sql('avg(land)', 6)} AS mean_land FROM tot GROUP BY 1""",
 )
 def mc07(spark, d):
     s = mc.composite(_totals(spark, d, 20), _lca(spark, d))
     out = mc.statistics(s, ["product"], 20)
-    return out.select("product", F.round("mean_ghg", 10).alias("mean_ghg"), F.round("se_ghg", 9).alias("se_ghg"), F.round("lower_ci_ghg", 8).alias("lower_ci_ghg"), F.round("mean_land", 10).alias("mean_land"))
+    return out.select("product", rounded("mean_ghg", 6), rounded("se_ghg", 6), rounded("lower_ci_ghg", 5), rounded("mean_land", 6))
 
 
 @query(
     "win05_rank_rows",
     _draws_sql(20) + _TOTALS + ", rk AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY round(ghg, 9), rep) AS k FROM tot) SELECT product, " + ", ".join(
-        f"round(max(CASE WHEN k = {max(1, round(20 * q))} THEN {i} END), 10) AS {n}_{i}" for n, q in mc.RANKS.items() for i in ("ghg", "land")) + " FROM rk GROUP BY 1",
+        f"{rounded_sql(f'max(CASE WHEN k = {max(1, round(20 * q))} THEN {i} END)', 6)} AS {n}_{i}" for n, q in mc.RANKS.items() for i in ("ghg", "land")) + " FROM rk GROUP BY 1",
 )
 def win05(spark, d):
     scored = _totals(spark, d, 20).withColumn("score", F.col("ghg"))
     out = mc.rank_rows(scored, ["product"], 20, ["ghg", "land"])
-    return _r(out, ["product"], *[f"{n}_{i}" for n in mc.RANKS for i in ("ghg", "land")], digits=10)
+    return out.select("product", *[rounded(f"{n}_{i}", 6) for n in mc.RANKS for i in ("ghg", "land")])
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="larder-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table written and read back within one job."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The checkpoint survives the loss of executors.  A folder of our own is used only when the
-    session names none, which is the case for local tests.
-    """
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``; it survives the loss of executors."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-            shared = tempfile.mkdtemp(prefix="larder-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(shared)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(_shared_folder(spark))
     return df.checkpoint(eager=True)
