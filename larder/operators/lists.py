@@ -40,16 +40,25 @@ def commas_before(text: Column, part: str) -> Column:
     return F.regexp_count(F.substring_index(text, part, 1), F.lit(",")) + 1
 
 
-def hidden_positions(spark, max_items: int = 14, at_most: int = 100, seed: int = 19) -> DataFrame:
+def hidden_positions(spark, max_items: int = 50, at_most: int = 100, seed: int = 19, enumerated: int = 14) -> DataFrame:
     """Which places to hide, per list length n and number hidden k >= 2: ``(n, k, combo, hidden)``.
 
-    All combinations when there are at most ``at_most``, else a seeded choice of that many.  The table
-    depends on the list lengths only: 2**max_items masks at most.
+    All combinations when there are at most ``at_most``, else a seeded choice of that many.  Lengths up to
+    ``enumerated`` are listed in full before choosing; for longer lists, of which there are few, ``at_most``
+    random choices are made.  The table depends on the list lengths only.
     """
-    masks = spark.range(1, 1 << max_items).withColumnRenamed("id", "mask")
-    sized = masks.withColumn("n", F.explode(F.sequence(F.lit(2), F.lit(max_items)))).where("mask < shiftleft(1L, n)")
-    sized = sized.withColumn("k", F.bit_count("mask")).where("k >= 2")
+    top = min(max_items, enumerated)
+    masks = spark.range(1, 1 << top).withColumnRenamed("id", "mask")
+    sized = masks.withColumn("n", F.explode(F.sequence(F.lit(2), F.lit(top)))).where("mask < shiftleft(1L, n)")
+    sized = sized.withColumn("k", F.bit_count("mask").cast("int")).where("k >= 2")
     w = Window.partitionBy("n", "k").orderBy(shuffle_key(["n", "mask"], seed), "mask")
     picked = sized.withColumn("combo", F.row_number().over(w)).where(F.col("combo") <= at_most)
     places = F.expr("filter(sequence(1, n), p -> (shiftright(mask, p - 1) & 1) = 1)")
-    return picked.select(F.col("n").cast("int").alias("n"), F.col("k").cast("int").alias("k"), "combo", places.alias("hidden"))
+    out = picked.select("n", "k", "combo", places.alias("hidden"))
+    if max_items > top:
+        tries = spark.range(1, at_most + 1).select(F.col("id").cast("int").alias("combo"), F.explode(F.sequence(F.lit(top + 1), F.lit(max_items))).alias("n"))
+        tries = tries.withColumn("k", F.explode(F.sequence(F.lit(2), F.col("n"))))
+        shuffled = F.array_sort(F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.struct(F.xxhash64(F.lit(seed), "n", "k", "combo", p).alias("h"), p.alias("p"))))
+        hidden = F.array_sort(F.transform(F.slice(shuffled, 1, F.col("k")), lambda x: x["p"]))
+        out = out.unionByName(tries.withColumn("hidden", hidden).dropDuplicates(["n", "k", "hidden"]).select("n", "k", "combo", "hidden"))
+    return out
