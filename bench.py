@@ -16,7 +16,7 @@ from larder.session import local_session
 HEADLINE = [
     "txt01_clean", "txt11_printed_percent", "txt12_match", "cls04_rules", "agg01_group", "agg05_supported_mean", "jon10_hierarchical_fallback",
     "win01_keep_first", "win10_totals", "sta01_regression", "cmp07_choose_estimator", "cmp09_sum_to_100", "trd05_reconcile", "trd08_re_export",
-    "trd13_reweight", "env01_impacts", "mc02_weighted_draws", "mc07_statistics", "nut06_letters", "hlt02_relative_risk",
+    "trd13_reweight", "env01_impacts", "mc02_weighted_draws", "mc05_product_totals", "nut06_letters", "hlt02_relative_risk",
 ]
 
 

@@ -97,3 +97,16 @@ def test_incremental_ingest(spark, sf_dir, tmp_path):
     rows.where("id % 2 = 1").write.mode("append").parquet(source)
     ingest_new_files(spark, source, "id bigint, ingredients_text string", "ingredients_text", target, state).awaitTermination()
     assert first == rows.where("id % 2 = 0").count() and spark.read.parquet(target).count() == rows.count()
+
+
+def test_draws_do_not_depend_on_the_join(spark, sf_dir, monkeypatch):
+    """Broadcast pools and pools joined by bucket give the same observations."""
+    from larder.operators import montecarlo as mc
+
+    foods = derived(spark, sf_dir, "ing").groupBy(F.col("id").alias("product"), "food_category", "food_category_sub", "food_category_sub_sub")
+    foods = foods.agg(F.sum("true_percent").alias("amount")).withColumn("organic", F.lit("Not Organic"))
+    lca = mc.prepared(derived(spark, sf_dir, "lca"))
+    small = mc.sampled(foods, lca, reps=2).select("product", "pool", "rep", "obs_id")
+    monkeypatch.setattr(mc, "BROADCAST_ROWS", 0)
+    large = mc.sampled(foods, lca, reps=2).select("product", "pool", "rep", "obs_id")
+    assert small.count() > 0 and small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
