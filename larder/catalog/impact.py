@@ -189,7 +189,7 @@ _TOTALS = ", tot AS (SELECT product, rep, " + ", ".join(f"sum({i} * {_AMOUNT}) A
 
 
 def _totals(spark, d, reps):
-    return mc.product_impacts(mc.ingredient_impacts(mc.sampled(_brewed(spark, d), _lca(spark, d), reps=reps)))
+    return mc.totals_per_product(mc.ingredient_impacts(mc.sampled(_brewed(spark, d), _lca(spark, d), reps=reps)))
 
 
 @query("mc05_product_totals", _draws_sql(4) + _TOTALS + "SELECT product, rep, " + ", ".join(f"{rounded_sql(i, 6)} AS {i}" for i in lc.INDICATORS) + " FROM tot")

@@ -39,5 +39,5 @@ def monte_carlo(items: DataFrame, lca: DataFrame, reps: int = mc.REPETITIONS, se
     frame = frame.withColumn("product", F.col("id"))
     observations = reliable_checkpoint(mc.prepared(lca))
     drawn = mc.ingredient_impacts(mc.sampled(frame, observations, reps, seed))
-    totals = mc.composite(mc.product_impacts(drawn), observations)
+    totals = mc.composite(mc.totals_per_product(drawn), observations)
     return mc.statistics(totals, ["product"], reps), mc.contributions(drawn, ["product"])
