@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, exact_dedup, near_dedup
+from larder.llm import bpe, exact_dedup, near_dedup, quality_rules, secrets
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -73,3 +73,42 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id kept, text_sha256 FROM t JO
 def exact_dedup_query(spark, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def spans_text(spans: str) -> Column:
+    """kind:start:end of each span, comma-joined in the order given."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op8_secrets")
+def secrets_query(spark, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents")).withColumn("base", F.expr("filter(spans, s -> s.kind <> 'novel')"))
+    return found.select(F.col("id").alias("doc_id"), *[count_of("spans", k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted({x for words in quality_rules.STOP_WORDS.values() for x in words}))
+_RULES_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l FROM t),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) c FROM g) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w)::BIGINT n_words, length(array_to_string(w, ''))::BIGINT word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT n_dup_lines, coalesce(r.n, 0)::BIGINT n_repeat_words, len(l) n_lines,
+  len(list_filter(w, lambda x: list_contains([{_STOP}], lower(regexp_replace(x, '[.,;:!?]+$', ''))))) n_stop, length(regexp_replace(t, '[^A-Z]', '', 'g')) n_upper,
+  len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*•] '))) n_bullet
+  FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / word_chars <= 0.2
+  AND n_stop / n_words >= 0.03 AND n_dup_lines / n_lines <= 0.3 AND n_upper / word_chars <= 0.4 AND n_bullet / n_lines <= 0.9 kept FROM b
+"""
+
+
+@query("op9_quality_rules", _RULES_SQL)
+def quality_rules_query(spark, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
