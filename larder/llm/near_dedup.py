@@ -30,7 +30,7 @@ from larder.llm.components import components
 
 COORDINATES = 128
 #: Most sets, and most shingles together, of a node that is compared exhaustively (two sets always are).
-SMALL, SMALL_SHINGLES = 2_048, 8_000_000
+SMALL, SMALL_SHINGLES = 1_024, 8_000_000
 #: Standard errors of the estimate by which a candidate may fall short of the threshold.
 SLACK = 4.0
 #: Steps in which large nodes are split before they are compared in blocks.
@@ -73,6 +73,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key binary, n long, sketch binary")
 
 
+def _bits(tokens: np.ndarray) -> np.ndarray:
+    """One bit of each of the first 64 tokens, as one integer: two sets differ in half of the bits of the tokens that they don't share."""
+    low = (tokens[:, :64] >> np.uint64(7)) & np.uint64(1)
+    return (low << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64)
+
+
 def _marks(sketch: str) -> Column:
     """One byte of each token, enough to compare by."""
 
@@ -84,7 +90,7 @@ def _marks(sketch: str) -> Column:
 
 
 def _branched(sets: DataFrame, step: int, trees: int, threshold: float) -> DataFrame:
-    """Rows (node, key, n) of the children that each row goes to. ``sets``: (key, n, sketch, node, size); the root has size 0."""
+    """Rows (node, key, n, bits) of the children that each row goes to. ``sets``: (key, n, sketch, node, size); the root has size 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,9 +116,9 @@ def _branched(sets: DataFrame, step: int, trees: int, threshold: float) -> DataF
                     made.append(child.astype(np.int64))
                     rows.append(at)
             at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), b.column(0).take(at), b.column(4).take(at)], ["node", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), b.column(0).take(at), b.column(4).take(at), pa.array(_bits(tokens)).take(at)], ["node", "key", "n", "bits"])
 
-    return sets.select("key", "sketch", "node", "size", "n").mapInArrow(run, "node long, key binary, n long")
+    return sets.select("key", "sketch", "node", "size", "n").mapInArrow(run, "node long, key binary, n long, bits long")
 
 
 def _classes(groups: DataFrame, threshold: float) -> DataFrame:
@@ -205,6 +211,17 @@ def _spanning(keys: list[bytes], sets: list[np.ndarray], percent: int) -> list[t
     return links
 
 
+def _seen() -> list[Column]:
+    """Of each node: what identifies its sets, and what shows a node of two sets to be no candidate."""
+    return [F.bit_xor(F.xxhash64("key")).alias("same"), F.bit_xor("bits").alias("differ"), F.min("n").alias("least"), F.max("n").alias("most")]
+
+
+def _most_bits(threshold: float) -> int:
+    """Of 64 bits, the most in which two sets at the threshold differ, by SLACK standard errors."""
+    p = (1 - threshold) / 2
+    return math.ceil(64 * p + SLACK * math.sqrt(64 * p * (1 - p)))
+
+
 def _in_blocks(stubborn: DataFrame) -> DataFrame:
     """Groups (grp, key, n, marks) in which every two sets of a large node meet: pairs of blocks of half a small node each."""
     half = SMALL // 2
@@ -226,13 +243,13 @@ def _linked(signs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     classes: DataFrame | None = None
     for step in range(STEPS + 1):
         rows = stored(_branched(parents, step, trees, threshold), "nodes")
-        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same"))
-        nodes = stored(nodes.where("size > 1"), "sizes")
+        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), *_seen())
+        nodes = stored(nodes.where("size > 1").where(f"size > 2 or (least >= {threshold} * most and bit_count(differ) <= {_most_bits(threshold)})"), "sizes")
         is_large = f"size > {SMALL} or (size > 2 and shingles > {SMALL_SHINGLES})"
         small = nodes.where(f"not ({is_large})").groupBy("size", "same").agg(F.min("node").alias("node"))  # nodes of the same sets count once
-        found = _classes(rows.join(small.select("node"), "node").join(marks, "key").withColumnRenamed("node", "grp"), threshold)
+        found = _classes(rows.drop("bits").join(small.select("node"), "node").join(marks, "key").withColumnRenamed("node", "grp"), threshold)
         classes = found if classes is None else classes.union(found)
-        large = nodes.where(is_large).drop("same")
+        large = nodes.where(is_large).select("node", "size", "shingles")
         if large.isEmpty():
             break
         left = rows.join(large, "node")
