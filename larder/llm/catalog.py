@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, exact_dedup, near_dedup, quality_rules, secrets
+from larder.llm import bpe, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, sharding
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -112,3 +112,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def quality_rules_query(spark, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+
+
+_MIX = """
+WITH RECURSIVE sizes AS (SELECT source, count(*) n, sqrt(count(*)) weight FROM documents GROUP BY source),
+rates AS (SELECT source, weight / sum(weight) OVER () * sum(n) OVER () / n rate FROM sizes),
+p(source, rate, k, p, c) AS (SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM p WHERE k < 71),
+tables AS (SELECT source, rate, list(c ORDER BY k) c FROM p GROUP BY source, rate),
+drawn AS (SELECT d.*, t.rate, t.c, (('0x' || substr(md5('42|' || doc_id || '|1'), 1, 8))::BIGINT + 0.5) / 4294967296.0 u FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+counted AS (SELECT *, len(list_filter(c, lambda x: x < u)) n FROM drawn)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 9) rate, copy::INTEGER copy, md5('42 order|' || doc_id || '|' || copy) shuffle_key FROM (SELECT *, unnest(range(0, n)) copy FROM counted)
+"""
+
+
+@query("op2_mixing", _MIX)
+def mixing_query(spark, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
+
+
+@query("op4_quality_classifier")
+def quality_classifier_query(spark, sf_dir: str) -> DataFrame:
+    out = quality_classifier.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op6_sharding")
+def sharding_query(spark, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), 40).withColumnRenamed("id", "doc_id")
