@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, secrets, sharding
+from larder.llm import bpe, exact_dedup, licenses, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -139,3 +139,17 @@ def quality_classifier_query(spark, sf_dir: str) -> DataFrame:
 @query("op6_sharding")
 def sharding_query(spark, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), 40).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_pii")
+def pii_query(spark, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents")).withColumn("base", F.expr("filter(spans, s -> s.kind <> 'context')"))
+    counts = [count_of("spans", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
+@query("op7_license_scan")
+def license_query(spark, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), F.size("licenses").cast("long").alias("n_licenses"), listed.alias("licenses"))
