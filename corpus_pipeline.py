@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import bpe, catalog, exact_dedup, near_dedup
+from larder.llm import bpe, catalog, exact_dedup, mixing, near_dedup, quality_classifier
 from larder.llm.common import stored, table
 
 #: Columns of the documents table that all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards good ones doesn't draw go."""
+    return quality_classifier.drop_rejected(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the largest id stays."""
     return exact_dedup.drop_exact_duplicates(docs).select(*COLUMNS)
@@ -21,20 +27,26 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_duplicates(docs).select(*COLUMNS)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat at their source's rate (sources weigh the root of their rows), in shuffled order."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text; decoding them gives its bytes."""
-    tokens = bpe.encoded(docs.select(*COLUMNS), catalog.byte_vocabulary())
-    return tokens
+    """``ids`` of each text, and the text that decoding them gives."""
+    tokens = bpe.encoded(docs.select(*COLUMNS), catalog.byte_vocabulary(), decode=True)
+    return tokens.withColumn("text", F.col("decoded").cast("string")).drop("decoded")
 
 
 #: Name and function of each stage, in order.
-STAGES = [("exact_dedup", exact), ("near_dedup", near), ("bpe", encode)]
+STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("bpe", encode)]
 
-#: Near-duplicate search and byte-level BPE have no SQL form; tests compare with a brute-force version.
+#: The classifier, near-duplicate search and byte-level BPE have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the last stage gives for the documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
