@@ -43,7 +43,7 @@ def _encoding(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, list[bytes
 
 
 def _pieces_encoded(pieces: DataFrame, vocabulary, decode: bool) -> DataFrame:
-    """``pieces`` with a last column ``text``, in whose place come ``ids`` and, if asked, the bytes ``decoded`` from them."""
+    """``pieces`` with the text as last column, in whose place come ``ids`` and, if asked, the bytes ``decoded`` from them."""
     kept = pieces.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", dec
     kept = [c for c in docs.columns if c != text_col]
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded: a rank file
     is_long = F.coalesce(F.length(text_col), F.lit(0)) > chunk + overlap
-    short = _pieces_encoded(docs.where(~is_long).select(*kept, F.col(text_col).alias("text")), held, decode)
+    short = _pieces_encoded(docs.where(~is_long).select(*kept, F.col(text_col).alias("__text")), held, decode)
 
     long = docs.where(is_long).withColumn("__sha", F.sha2(text_col, 256))
     texts = long.groupBy(F.col("__sha").alias("sha")).agg(F.first(text_col).alias("text"))
@@ -110,8 +110,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", dec
     done = _pieces_encoded(pieces.repartition("sha", "k"), held, decode)
     fields = ["ids", *["decoded"] * decode]
     ordered = done.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("k", *fields))).alias("x"))
-    joined = ordered.select("sha", F.flatten("x.ids").alias("ids"), *[_joined_bytes("x.decoded").alias("decoded")] * decode)
-    return short.unionByName(long.drop(text_col).join(joined, long["__sha"] == joined["sha"]).select(*kept, *fields))
+    joined = ordered.select(F.col("sha").alias("__key"), F.flatten("x.ids").alias("ids"), *[_joined_bytes("x.decoded").alias("decoded")] * decode)
+    return short.unionByName(long.drop(text_col).join(joined, long["__sha"] == joined["__key"]).select(*kept, *fields))
 
 
 def _joined_bytes(parts: str) -> Column:

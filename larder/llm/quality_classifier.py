@@ -150,8 +150,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = labels.where(f"{id_col} is not null and quality is not null").select(F.col(id_col).alias("__id"), "quality")
     some = stored(some.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(labelled), "labels")
     good = some.where("quality = 1").select("__id")
-    marked = docs.join(broadcast_if_small(good.withColumn("good", F.lit(True))), docs[id_col] == F.col("__id"), "left")
-    counts = _counts(marked.select(F.col(text_col).alias("text"), F.coalesce("good", F.lit(False)).alias("good")))
+    marked = docs.join(broadcast_if_small(good.withColumn("__good", F.lit(True))), docs[id_col] == F.col("__id"), "left")
+    counts = _counts(marked.select(F.col(text_col).alias("text"), F.coalesce("__good", F.lit(False)).alias("good")))
     share = (counts + 1) / (counts.sum(1, keepdims=True) + BUCKETS)
     ratios = np.log(share[1] / share[0]) if counts[1].sum() else np.zeros(BUCKETS)
     scores = stored(scored(docs, ratios, id_col, text_col, seed), "scores")
