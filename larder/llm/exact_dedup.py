@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from larder.llm.common import ascii_lower, broadcast_if_small, null_safe, stored
 
@@ -234,15 +234,17 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Where the staying id is repeated within its group, one of its rows stays.
     """
 
-    @F.pandas_udf(BinaryType())
-    def digest(text: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256((t or "").encode().lower()).digest() for t in text])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([hashlib.sha256(t).digest() for t in ascii_lower(b.column(text_col))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, "__digest"])
 
     rows, groups = _groups(docs, id_col, text_col)
     groups = stored(groups.where("group_size > 1"), "copies")
     gone = stored(rows.join(groups, "digest").where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest").distinct(), "gone")
     again = groups.where("at_top > 1").select(F.col("keep_id").alias("id"), "digest")
-    own = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__digest", digest(F.col(text_col)))
+    own = docs.withColumn("__id", F.col(id_col).cast("long"))
+    own = own.mapInArrow(run, StructType([*own.schema.fields, StructField("__digest", BinaryType())]))
     on = {"__id": "id", "__digest": "digest"}
     kept = own.join(gone := broadcast_if_small(gone), null_safe(own, gone, on), "left_anti")
     if not again.isEmpty():

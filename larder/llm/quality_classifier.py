@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,6 +24,8 @@ from larder.llm.common import PIECE, broadcast_if_small, stored
 GRAM, BUCKETS, SLICE = 4, 1 << 16, 1 << 10
 #: Most labelled rows that the target model and the calibration use, taken by the hash of their id.
 LABELLED = 50_000
+#: Texts that are Python objects at a time.
+ROWS = 256
 #: Share of labelled good documents below the level that ``k`` is counted at, and log importance that the level is lowered by.
 LOST, MARGIN = 0.001, 3.0
 
@@ -133,9 +134,11 @@ def scored(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            w = _weights(texts, held.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(w + gumbel(b.column(0).to_pylist(), texts, seed))], ["id", "log_weight", "key"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                texts = part.column(1).to_pylist()
+                w = _weights(texts, held.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w), pa.array(w + gumbel(part.column(0).to_pylist(), texts, seed))], ["id", "log_weight", "key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, log_weight double, key double")
@@ -176,10 +179,12 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model, _ = fitted(docs, labels, id_col, text_col, labelled, seed)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def drawn(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        texts = [None if t is None else t for t in texts]
-        ids = [None if pd.isna(i) else i for i in ids]
-        return pd.Series(_weights(texts, held.value.ratios) + gumbel(ids, texts, seed) >= held.value.least_key)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                ids, texts = part.column(id_col).to_pylist(), part.column(text_col).to_pylist()
+                keys = _weights(texts, held.value.ratios) + gumbel(ids, texts, seed)
+                yield part.filter(pa.array(keys >= held.value.least_key))
 
-    return docs.where(drawn(F.col(id_col).cast("string"), F.col(text_col)))
+    return docs.mapInArrow(run, docs.schema)
