@@ -19,11 +19,11 @@ def _r(df, keys, *cols, digits=6):
     return df.select(*keys, *[F.round(c, digits).alias(c) for c in cols])
 
 
-_MEAN_LCA = "SELECT food_category, avg(ghg) AS ghg, avg(land) AS land, avg(eut) AS eut, avg(watscar) AS watscar FROM lca WHERE food_category <> 'PROMO' GROUP BY 1"
+_MEAN_LCA = "SELECT food_category, avg(ghg) AS ghg, avg(land) AS land, avg(eut) AS eut, avg(watscar) AS watscar FROM lca GROUP BY 1"
 
 
 def _mean_lca(spark, d):
-    return derived(spark, d, "lca").where("food_category <> 'PROMO'").groupBy("food_category").agg(*[F.avg(i).alias(i) for i in ("ghg", "land", "eut", "watscar")])
+    return derived(spark, d, "lca").groupBy("food_category").agg(*[F.avg(i).alias(i) for i in ("ghg", "land", "eut", "watscar")])
 
 
 @query(
@@ -126,7 +126,7 @@ def _draws_sql(reps: int) -> str:
     look = lambda kind, *names: "coalesce(" + ", ".join(f"(SELECT max(pool) FROM have WHERE have.pool = '{kind}|' || {n})" for n in names) + ")"
     return ctes("ing", "lca") + _FOODS + f"""
     , obs AS (SELECT obs_id, CASE WHEN food_category IN ('SMALL', 'PROMO') THEN 'Fish' ELSE food_category END AS fc, food_category_sub AS s1, food_category_sub_sub AS s2, CASE food_category WHEN 'SMALL' THEN 'Yes' WHEN 'PROMO' THEN 'No' END AS aq, sys,
-       CAST(round(weight * 10) + 1 AS BIGINT) AS units, weight, ghg / 10 AS ghg, land / 10 AS land, eut / 10 AS eut, watscar / 10 AS watscar, biodiversity / 10 AS biodiversity, acidification / 10 AS acidification, wateruse / 10 AS wateruse FROM lca)
+       CAST(round(weight * 1000000) + 100000 AS BIGINT) AS units, weight, ghg / 10 AS ghg, land / 10 AS land, eut / 10 AS eut, watscar / 10 AS watscar, biodiversity / 10 AS biodiversity, acidification / 10 AS acidification, wateruse / 10 AS wateruse FROM lca)
     , spots AS ({' UNION ALL '.join(spots)})
     , sized AS (SELECT *, count(*) OVER (PARTITION BY pool) AS size, CAST(sum(units) OVER (PARTITION BY pool) AS BIGINT) AS whole FROM spots)
     , rowsx AS (SELECT *, CAST(sum(units) OVER (PARTITION BY pool ORDER BY {key_number_sql("CAST(obs_id AS VARCHAR) || '|0'")} % 64, obs_id) AS BIGINT) AS high FROM sized WHERE (depth = 0 AND kind <> 'organic') OR size >= 5)
@@ -156,10 +156,10 @@ def jon13(spark, d):
 
 @query(
     "mc01_pools",
-    _draws_sql(1) + "SELECT pool, max(size) AS size, max(whole) AS whole, CAST(max(depth) AS INT) AS depth FROM rowsx WHERE kind <> 'organic' GROUP BY 1",
+    _draws_sql(1) + "SELECT pool, max(size) AS size, max(whole) AS whole, CAST(max(depth) AS INT) AS depth FROM rowsx GROUP BY 1",
 )
 def mc01(spark, d):
-    p = mc.pools(mc.replicated(_lca(spark, d))).where("kind <> 'organic'")
+    p = mc.pools(mc.replicated(_lca(spark, d)))
     return p.groupBy("pool").agg(F.max("size").alias("size"), F.max("whole").alias("whole"), F.max("depth").alias("depth"))
 
 

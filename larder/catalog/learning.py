@@ -174,7 +174,7 @@ def cls10(spark, d):
 
 
 _WORDS = """WITH w AS (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1, 2),
-  t AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c), p AS (SELECT lang, word, n / CAST(total AS DOUBLE) AS share FROM t WHERE r <= 300),
+  t AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c), p AS (SELECT lang, word, n / CAST(total AS DOUBLE) AS share FROM t),
   s AS (SELECT doc_id, p.lang, round(sum(share), 9) AS score FROM w JOIN p ON p.word = w.word GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS k FROM s)"""
 
 

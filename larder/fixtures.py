@@ -15,7 +15,6 @@ from larder.sources.tables import SCHEMAS, table
 _SQL: dict[str, str] = {}
 
 # One row per ingredient: the order is the product, lines ranked by quantity are its ingredients.
-# A list keeps its first 50 places, as printed labels do; the rank filter is cut before the shuffle.
 _SQL["ing"] = """
 SELECT l.id, CAST(l.pos AS INT) AS pos, p_name AS value, p_type AS food_category, p_brand AS food_category_sub,
        CASE WHEN p_partkey % 3 = 0 THEN p_name END AS food_category_sub_sub,
@@ -25,8 +24,7 @@ FROM (SELECT *, sum(l_quantity) OVER (PARTITION BY id) AS tot
       FROM (SELECT l_orderkey AS id, l_partkey, l_quantity, l_returnflag,
                    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey,
                                       l_suppkey, l_extendedprice) AS pos
-            FROM {lineitem}) ranked
-      WHERE pos <= 50) l
+            FROM {lineitem}) ranked) l
 JOIN {part} ON p_partkey = l_partkey
 """
 

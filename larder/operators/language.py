@@ -16,10 +16,12 @@ def words(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(F.split(F.lower(text), WORD)).alias("word")).where("word <> ''")
 
 
-def word_profile(labelled: DataFrame, text: str, lang: str, top: int = 300) -> DataFrame:
-    """The most frequent words of each language with their share among its words."""
+def word_profile(labelled: DataFrame, text: str, lang: str, top: int | None = None) -> DataFrame:
+    """The words of each language with their share among its words; with ``top`` only the most frequent."""
     counts = words(labelled, text, [lang]).groupBy(F.col(lang).alias("lang"), "word").agg(F.count("*").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    if top is None:
+        return counts.join(totals, "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("share"))
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -30,10 +32,9 @@ def word_profile(labelled: DataFrame, text: str, lang: str, top: int = 300) -> D
 def detect_language(df: DataFrame, text: str, key: str, profile: DataFrame, out: str = "language") -> DataFrame:
     """The language whose profile fits best; 'und' for empty or unknown texts.
 
-    The profile has a fixed number of words per language, so it is broadcast; scores are added up per text
-    before anything is shuffled.
+    The profile may be as large as the languages' vocabularies, so how it is joined is left to measured sizes.
     """
-    hits = words(df, text, [key]).join(F.broadcast(profile), "word")
+    hits = words(df, text, [key]).join(profile, "word")
     scores = hits.groupBy(key, "lang").agg(F.round(F.sum("share"), 9).alias("score"))
     best = keep_first(scores, [key], [F.desc("score"), F.col("lang")]).select(key, F.col("lang").alias("__lang"))
     known = F.when(F.length(F.trim(text)) > 1, F.col("__lang"))

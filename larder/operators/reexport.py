@@ -14,7 +14,7 @@ from larder.session import reliable_checkpoint
 
 
 def limited_exports(production: DataFrame, edges: DataFrame, groups: list[str], rounds: int | None = None,
-                    max_rounds: int = 60, tolerance: float = 1e-9, every: int = 5) -> DataFrame:
+                    max_rounds: int = 600, tolerance: float = 1e-9, every: int = 5) -> DataFrame:
     """Per country: ``available`` (grown and imported), ``wanted`` exports and the ``kept`` share of them.
 
     A country that reports more exports than it has ships all it has; less arriving elsewhere may limit others
@@ -41,11 +41,14 @@ def limited_exports(production: DataFrame, edges: DataFrame, groups: list[str],
             if rounds is None and (moved is None or moved < tolerance):
                 break
         nodes = nodes.drop("__before")
+    else:
+        if rounds is None:
+            raise RuntimeError(f"exports did not settle in {max_rounds} rounds")
     return nodes.select(*groups, "iso3", "grown", "wanted", "kept", (F.col("grown") + F.col("arrived")).alias("available"))
 
 
 def re_export(production: DataFrame, edges: DataFrame, groups: list[str], rounds: int | None = None, limit_rounds: int | None = None,
-              max_rounds: int = 60, tolerance: float = 1e-9, every: int = 5) -> DataFrame:
+              max_rounds: int = 600, tolerance: float = 1e-9, every: int = 5) -> DataFrame:
     """Supply by origin: ``(groups, origin, consumer, supply)``.
 
     ``rounds`` fixes the number of trade steps; by default steps are added until the amount still moving is
@@ -75,6 +78,9 @@ def re_export(production: DataFrame, edges: DataFrame, groups: list[str], rounds
                 if abs(change) < tolerance * whole:
                     break
         passed = grown
+    else:
+        if rounds is None:
+            raise RuntimeError(f"re-exports still moved more than {tolerance} of the total after {max_rounds} rounds")
     stays = F.try_divide(F.col("available") - F.col("kept") * F.col("wanted"), F.col("available"))
     home = nodes.select(*groups, F.col("iso3").alias("at"), F.greatest(stays, F.lit(0.0)).alias("__stays"))
     out = passed.join(home, [*groups, "at"]).withColumn("supply", F.col("amount") * F.col("__stays"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,18 +18,31 @@ def write_split(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
+def _completed(path: str) -> str:
+    return f"{path.rstrip('/')}/_complete"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def pending(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Rows whose partition has not been written yet."""
-    try:
-        done = df.sparkSession.read.parquet(path).select(*keys).distinct()
-    except AnalysisException:
+    """Rows whose partition has not been marked as complete."""
+    done = _completed(path)
+    if not _exists(df.sparkSession, done):
         return df
-    return anti(df, done, keys)
+    return anti(df, df.sparkSession.read.schema(df.select(*keys).schema).parquet(done).distinct(), keys)
 
 
 def write_pending(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Resume: write only partitions that are missing; what is there stays as it is."""
-    pending(df, path, keys).write.mode("append").partitionBy(*keys).parquet(path)
+    """Resume: write only partitions that are not complete; what a failed run left of them is replaced.
+
+    A partition counts as complete once its key is in the marker table, which is written after the rows.
+    """
+    rows = pending(df, path, keys)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    rows.select(*keys).distinct().write.mode("append").parquet(_completed(path))
 
 
 def write_batches(df: DataFrame, path: str, keys: list[str], size: int = 500, seed: int = 42) -> None:
