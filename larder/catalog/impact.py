@@ -231,7 +231,7 @@ def win05(spark, d):
 
 @query(
     "mc08_contributions",
-    _draws_sql(4) + f", p AS (SELECT product, fc, sum(ghg * {_AMOUNT}) AS ghg, sum(land * {_AMOUNT}) AS land, sum(amount) AS amount FROM hit GROUP BY 1, 2) SELECT product, fc AS food_category, round(ghg / sum(ghg) OVER w, 6) AS ghg, round(land / sum(land) OVER w, 6) AS land, round(amount / sum(amount) OVER w, 6) AS amount FROM p WINDOW w AS (PARTITION BY product)",
+    _draws_sql(4) + f", p AS (SELECT product, fc, sum(CAST(ghg * {_AMOUNT} AS DECIMAL(28,12))) AS ghg, sum(CAST(land * {_AMOUNT} AS DECIMAL(28,12))) AS land, sum(CAST(amount AS DECIMAL(28,12))) AS amount FROM hit GROUP BY 1, 2) SELECT product, fc AS food_category, round(ghg::DOUBLE / (sum(ghg) OVER w)::DOUBLE, 6) AS ghg, round(land::DOUBLE / (sum(land) OVER w)::DOUBLE, 6) AS land, round(amount::DOUBLE / (sum(amount) OVER w)::DOUBLE, 6) AS amount FROM p WINDOW w AS (PARTITION BY product)",
 )
 def mc08(spark, d):
     i = mc.ingredient_impacts(mc.sampled(_brewed(spark, d), _lca(spark, d), reps=4))

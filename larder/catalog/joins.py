@@ -95,9 +95,9 @@ def jon08(spark, d):
 
 @query(
     "jon10_hierarchical_fallback",
-    ctes("ingprod") + """, s AS (SELECT retailer, department, aisle, shelf, avg(percent0) AS v FROM ingprod WHERE pos = 7 GROUP BY 1, 2, 3, 4),
-    a AS (SELECT retailer, department, aisle, avg(percent0) AS v FROM ingprod WHERE pos = 7 GROUP BY 1, 2, 3),
-    e AS (SELECT retailer, department, avg(percent0) AS v FROM ingprod WHERE pos = 7 GROUP BY 1, 2)
+    ctes("ingprod") + """, s AS (SELECT retailer, department, aisle, shelf, avg(percent0) AS v FROM ingprod GROUP BY 1, 2, 3, 4),
+    a AS (SELECT retailer, department, aisle, avg(percent0) AS v FROM ingprod GROUP BY 1, 2, 3),
+    e AS (SELECT retailer, department, avg(percent0) AS v FROM ingprod GROUP BY 1, 2)
     SELECT i.id, i.pos, round(coalesce(i.percent0, s.v, a.v, e.v), 9) AS percent FROM ingprod i
     LEFT JOIN s ON s.retailer = i.retailer AND s.department = i.department AND s.aisle = i.aisle AND s.shelf = i.shelf
     LEFT JOIN a ON a.retailer = i.retailer AND a.department = i.department AND a.aisle = i.aisle
@@ -105,9 +105,8 @@ def jon08(spark, d):
 )
 def jon10(spark, d):
     i = derived(spark, d, "ingprod").withColumn("percent", F.col("percent0"))
-    seventh = i.where("pos = 7")
     levels = [["retailer", "department", "aisle", "shelf"], ["retailer", "department", "aisle"], ["retailer", "department"]]
-    tables = [(seventh.groupBy(*k).agg(F.avg("percent0").alias("percent")), k) for k in levels]
+    tables = [(i.groupBy(*k).agg(F.avg("percent0").alias("percent")), k) for k in levels]
     return r.first_filled(i, tables, "percent").select("id", "pos", F.round("percent", 9).alias("percent"))
 
 
@@ -283,9 +282,9 @@ def win08(spark, d):
     return li.neighbour_bounds(derived(spark, d, "ing").select("id", "pos", "percent0"), ["id"], "pos", "percent0").select("id", "pos", "min_before", "max_after")
 
 
-@query("win09_place_in_text", ctes("ing", "txt") + "SELECT t.id, CAST(min(i.pos) AS INT) AS place FROM txt t JOIN ing i ON i.id = t.id AND i.value LIKE '%gear%' AND i.pos <= 2 GROUP BY t.id")
+@query("win09_place_in_text", ctes("ing", "txt") + "SELECT id, CAST(1 + length(b) - length(replace(b, ',', '')) AS INT) AS place FROM (SELECT id, split_part(ingredients_text, 'gear', 1) AS b FROM txt WHERE contains(ingredients_text, 'gear'))")
 def win09(spark, d):
-    t = derived(spark, d, "txt").where(F.regexp_replace("ingredients_text", r"^([^,]*,[^,]*),.*", "$1").contains("gear"))
+    t = derived(spark, d, "txt").where(F.col("ingredients_text").contains("gear"))
     return t.select("id", li.commas_before(F.col("ingredients_text"), "gear").alias("place"))
 
 
@@ -294,7 +293,7 @@ def win09(spark, d):
     ctes("ing") + "SELECT id, pos, count(*) OVER (PARTITION BY id) AS n_ingredients, round(sum(percent0) OVER (PARTITION BY id), 4) AS tot_percent FROM ing",
 )
 def win10(spark, d):
-    # at most 50 rows per product: one window, no second pass
+    # a product's own list: one window, no second pass
     w = Window.partitionBy("id")
     return derived(spark, d, "ing").select(
         "id", "pos", F.count("*").over(w).alias("n_ingredients"), F.round(F.sum("percent0").over(w), 4).alias("tot_percent")

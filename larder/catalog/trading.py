@@ -198,7 +198,7 @@ FORMULAS = {
 @query(
     "trd11_processing_factors",
     ctes("supply_use") + """, u AS (SELECT item, sum(v) AS supply, sum(CASE WHEN element = 'Processed' THEN v ELSE 0 END) AS processed FROM
-      (SELECT item, element, avg(value) AS v FROM supply_use WHERE area_code = '''003' AND yr BETWEEN 1996 AND 1999 GROUP BY 1, 2) GROUP BY 1),
+      (SELECT item, element, avg(value) AS v FROM (SELECT item, element, yr, sum(value) AS value FROM supply_use GROUP BY 1, 2, 3) world WHERE yr BETWEEN 1996 AND 1999 GROUP BY 1, 2) GROUP BY 1),
     w AS (SELECT max(CASE WHEN item = 'Brand#1' THEN supply END) AS s1, max(CASE WHEN item = 'Brand#2' THEN supply END) AS s2, max(CASE WHEN item = 'Brand#3' THEN processed END) AS p3,
       max(CASE WHEN item = 'Brand#4' THEN supply END) AS s4, max(CASE WHEN item = 'Brand#5' THEN supply END) AS s5, max(CASE WHEN item = 'Brand#6' THEN supply END) AS s6, max(CASE WHEN item = 'Brand#3' THEN supply END) AS s3,
       max(CASE WHEN item = 'Brand#9' THEN supply END) AS s9 FROM u)
@@ -206,7 +206,8 @@ FORMULAS = {
     SELECT 'Brand#3', round((coalesce(p3, 0) - coalesce(s4, 0)) / (coalesce(s5, 0) + coalesce(s6, 0)), 6), round(s3, 6) FROM w UNION ALL SELECT 'Brand#9', 1.0, round(s9, 6) FROM w""",
 )
 def trd11(spark, d):
-    out = tr.processing_factors(derived(spark, d, "supply_use"), FORMULAS, F.col("area_code") == "'003", [1996, 1997, 1998, 1999])
+    world = derived(spark, d, "supply_use").groupBy("item", "element", "yr").agg(F.sum("value").alias("value")).withColumn("area_code", F.lit("world"))
+    out = tr.processing_factors(world, FORMULAS, F.col("area_code") == "world", [1996, 1997, 1998, 1999])
     return _r(out, ["item"], "crop_factor", "supply")
 
 
@@ -221,9 +222,9 @@ def trd12(spark, d):
     return _r(out, ["region", "item"], "Food", "Feed", "Loss")
 
 
-# a few supplier countries per category, so that every fallback level occurs
+# all observations, each supplier at the nearest level that has any
 _SOURCED = """
-, lc AS (SELECT * FROM lca WHERE iso3 % 25 IN (1, 6, 7, 12) AND NOT (food_category = 'SMALL' AND iso3 <> 1) AND NOT (food_category = 'PROMO' AND obs_id % 40 <> 1))
+, lc AS (SELECT * FROM lca)
 , sup AS (SELECT importer AS consumer, item AS category, exporter AS supplier, sum(import_rep) AS qty FROM flow GROUP BY 1, 2, 3)
 , s1 AS (SELECT *, qty / sum(qty) OVER (PARTITION BY consumer, category) * 100 AS sh FROM sup)
 , s2 AS (SELECT consumer, category, supplier, qty / sum(qty) OVER (PARTITION BY consumer, category) * 100 AS share FROM s1 WHERE sh >= 0.1)
@@ -244,9 +245,7 @@ _SOURCED = """
 
 
 def _sourcing(spark, d):
-    lca = derived(spark, d, "lca").where(
-        "iso3 % 25 IN (1, 6, 7, 12) AND NOT (food_category = 'SMALL' AND iso3 <> 1) AND NOT (food_category = 'PROMO' AND obs_id % 40 <> 1)"
-    )
+    lca = derived(spark, d, "lca")
     supply = derived(spark, d, "flow").select(F.col("importer").alias("consumer"), F.col("item").alias("category"), F.col("exporter").alias("supplier"), F.col("import_rep").alias("qty"))
     return so.reweight(supply, lca, derived(spark, d, "area"))
 
@@ -276,9 +275,7 @@ def trd14(spark, d):
     ctes("flow", "lca", "area") + _SOURCED + "SELECT consumer, category, supplier, CAST(level AS INT) AS level, round(share, 6) AS share FROM lv WHERE level IS NOT NULL",
 )
 def jon11(spark, d):
-    lca = derived(spark, d, "lca").where(
-        "iso3 % 25 IN (1, 6, 7, 12) AND NOT (food_category = 'SMALL' AND iso3 <> 1) AND NOT (food_category = 'PROMO' AND obs_id % 40 <> 1)"
-    )
+    lca = derived(spark, d, "lca")
     supply = derived(spark, d, "flow").select(F.col("importer").alias("consumer"), F.col("item").alias("category"), F.col("exporter").alias("supplier"), F.col("import_rep").alias("qty"))
     area = derived(spark, d, "area")
     found = so.assigned_levels(so.supply_shares(supply), so._by_level(lca, area), area)

@@ -140,10 +140,13 @@ def product_of(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def proportions(df: DataFrame, product: list[str], part: list[str], columns: list[str]) -> DataFrame:
-    """Share of each part in its product's total, for several columns at once."""
-    per_part = df.groupBy(*product, *part).agg(*[F.sum(c).alias(c) for c in columns])
+    """Share of each part in its product's total, for several columns at once.
+
+    Sums are exact decimals, so that a share doesn't depend on the order of the rows.
+    """
+    per_part = df.groupBy(*product, *part).agg(*[F.sum(F.col(c).cast("decimal(28,12)")).alias(c) for c in columns])
     totals = with_totals(per_part, product, **{f"__t_{c}": F.sum(c) for c in columns})
-    return totals.select(*product, *part, *[F.try_divide(F.col(c), F.col(f"__t_{c}")).alias(c) for c in columns])
+    return totals.select(*product, *part, *[F.try_divide(F.col(c).cast("double"), F.col(f"__t_{c}").cast("double")).alias(c) for c in columns])
 
 
 def best_of(columns: list[str]) -> tuple[Column, Column]:
