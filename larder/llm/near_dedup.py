@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from larder.llm.common import ascii_lower, broadcast_if_small, group_starts, mixed, null_safe, segments, shingles, stored, word_hashes
+from larder.llm.common import ascii_lower, broadcast_if_small, group_starts, mixed, segments, shingles, stored, word_hashes
 from larder.llm.components import components
 
 COORDINATES = 128
@@ -170,8 +170,8 @@ def _classes(groups: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "class binary, key binary").distinct()
 
 
-def _confirmed(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that span each class's connected parts, every one confirmed on full sets: 100 * |A and B| >= percent * |A or B|."""
+def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span the connected parts of each class of (class, key, shingles), every one confirmed on full sets: 100 * |A and B| >= percent * |A or B|."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in segments(batches, "class"):
@@ -184,8 +184,7 @@ def _confirmed(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
 
-    joined = classes.join(sets, "key").select("class", "key", "shingles")
-    return joined.repartition("class").sortWithinPartitions("class").mapInArrow(run, "a binary, b binary")
+    return sets.repartition("class").sortWithinPartitions("class").mapInArrow(run, "a binary, b binary")
 
 
 def _spanning(keys: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
@@ -257,18 +256,45 @@ def _linked(signs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
             classes = classes.union(_classes(_in_blocks(left.join(marks, "key")), threshold))
         parents = left.join(distinct.select("key", "sketch"), "key")
     classes = stored(classes.distinct(), "classes")
-    needed = stored(classes.select("key").distinct().join(distinct.select("key", "id"), "key"), "needed")
-
+    needed = stored(classes.join(distinct.select("key", "id"), "key"), "needed")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # a set is in few classes, one for each tree that finds it at most
+    by_id = needed.where("id is not null").groupBy("id").agg(F.collect_list(F.struct("key", "class")).alias("of"))
+    named = texts.join(broadcast_if_small(by_id), "id").select("text", "of")
+    full = named.mapInArrow(_full_sets(width), "class binary, key binary, shingles binary")
+    if not needed.where("id is null").isEmpty():  # sets that only rows without id have are found by their digest
+        lost = needed.where("id is null").select("key", "class")
+        sets = texts.where("id is null").select("text").mapInArrow(_keyed_sets(width), "key binary, shingles binary")
+        full = full.unionByName(sets.join(lost, "key").select("class", "key", "shingles"))
+    return _confirmed(full, percent)
+
+
+def _keyed_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = [s.tobytes() for s in _sets(b.column(0), width)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(p) for p in packed], pa.binary()), pa.array(packed, pa.binary())], ["key", "shingles"])
 
-    ids = broadcast_if_small(needed.select(F.col("id").alias("__id")).distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("text"))
-    texts = texts.join(ids, null_safe(texts, ids, {"__own": "__id"}), "left_semi")
-    full = texts.select("text").mapInArrow(run, "key binary, shingles binary")
-    return _confirmed(classes, full, percent)
+    return run
+
+
+def _full_sets(width: int):
+    """Rows (class, key, shingles) from texts and the (key, class) pairs of their id; other texts of a repeated id give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            classes, keys, parts = [], [], []
+            for s, pairs in zip(_sets(b.column(0), width), b.column(1).to_pylist(), strict=True):
+                packed = s.tobytes()
+                own = xxhash.xxh3_128_digest(packed)
+                for x in pairs:
+                    if x["key"] == own:
+                        classes.append(x["class"])
+                        keys.append(own)
+                        parts.append(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (classes, keys, parts)], ["class", "key", "shingles"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, recall: float = 0.9999) -> DataFrame:
