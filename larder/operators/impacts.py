@@ -174,17 +174,16 @@ def scaled_statistics(df: DataFrame, indicators: list[str], statistics: list[str
 
     The nutrition score is moved and scaled to 0-100 as well.
     """
-    for i in indicators:
-        top = df.agg(F.max(f"mean_{i}")).scalar()
-        df = df.withColumns({f"scaled_{s}_{i}": F.try_divide(F.col(f"{s}_{i}"), top) * 100 for s in statistics})
+    extremes = df.agg(F.struct(*[F.max(f"mean_{i}").alias(i) for i in indicators], F.min(points).alias("low"), F.max(points).alias("high")).alias("v")).scalar()
+    df = df.withColumns({f"scaled_{s}_{i}": F.try_divide(F.col(f"{s}_{i}"), extremes[i]) * 100 for i in indicators for s in statistics})
     totals = {}
     for s in statistics:
         parts = [F.col(f"scaled_{s}_{i}") for i in indicators]
         totals[f"total_scaled_{s}"] = sum(parts[1:], parts[0]) / len(parts)
     df = df.withColumns(totals)
     top = df.agg(F.max("total_scaled_mean")).scalar()
+    low, high = extremes["low"], extremes["high"]
     df = df.withColumns({f"total_scaled_{s}": F.try_divide(F.col(f"total_scaled_{s}"), top) * 100 for s in statistics})
-    low, high = df.agg(F.min(points)).scalar(), df.agg(F.max(points)).scalar()
     return df.withColumn("score_scaled", F.try_divide(F.col(points) + F.abs(low), high + F.abs(low)) * 100)
 
 

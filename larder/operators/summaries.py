@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +34,9 @@ def t_975(freedom: Column) -> Column:
     return F.when(freedom >= 1, F.coalesce(listed, series))
 
 
-def mean_with_interval(df: DataFrame, keys: list[str], columns: list[str], n: int | None = None) -> DataFrame:
-    """Mean, standard error and 95% t-interval per group; ``n`` overrides the number of observations."""
-    aggs = [F.count("*").alias("n")]
+def mean_with_interval(df: DataFrame, keys: list[str], columns: list[str], n: int | None = None, also: Sequence[Column] = ()) -> DataFrame:
+    """Mean, standard error and 95% t-interval per group; ``n`` overrides the number of observations, ``also`` adds aggregates."""
+    aggs = [F.count("*").alias("n"), *also]
     for c in columns:
         aggs += [F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"__sd_{c}")]
     out = df.groupBy(*keys).agg(*aggs)
