@@ -128,7 +128,7 @@ def snk04(spark, d):
     return spark.read.schema("c_custkey bigint, batch int").parquet(path)
 
 
-@query("snk05_model")
+@query("snk05_model", "SELECT p_partkey, p_type, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS index FROM part")
 def snk05(spark, d):
     path = scratch_path(spark, "model")
     p = derived(spark, d, "part").select("p_partkey", "p_type")

@@ -96,6 +96,12 @@ def _classes(spark, d):
     return e.select("vec_id", "embedding", (F.col("label") % 3).cast("string").alias("top"), F.col("label").cast("string").alias("low"))
 
 
+def _parts(spark, d):
+    """Rows to learn from, and the rows held out, which are scored."""
+    df = _classes(spark, d).withColumn("part", split_flag(["vec_id"]))
+    return df.where("part = 'train'").drop("part"), df.where("part = 'test'").drop("part")
+
+
 @query("sta08_pca")
 def sta08(spark, d):
     out, k = cl.principal_components(derived(spark, d, "embeddings").select("vec_id", "embedding"))
@@ -104,32 +110,32 @@ def sta08(spark, d):
 
 @query("cls01_forest")
 def cls01(spark, d):
-    df = cl.vectors(_classes(spark, d))
-    return cl.predict(cl.fit_forest(df, "top", trees=20, depth=8), df, "pred").select("vec_id", "top", "pred", "pred_prob")
+    train, test = map(cl.vectors, _parts(spark, d))
+    return cl.predict(cl.fit_forest(train, "top", trees=20, depth=8), test, "pred").select("vec_id", "top", "pred", "pred_prob")
 
 
 @query("cls02_network")
 def cls02(spark, d):
-    df = cl.vectors(_classes(spark, d))
-    return cl.predict(cl.fit_network(df, "top", [16], 30), df, "pred").select("vec_id", "top", "pred", "pred_prob")
+    train, test = map(cl.vectors, _parts(spark, d))
+    return cl.predict(cl.fit_network(train, "top", [16], 30), test, "pred").select("vec_id", "top", "pred", "pred_prob")
 
 
 @query("cls03_hierarchical")
 def cls03(spark, d):
-    df = _classes(spark, d)
-    return cl.hierarchical(df, df, "top", "low", ["2"]).select("vec_id", "top_pred", "low_pred", "top_pred_prob")
+    train, test = _parts(spark, d)
+    return cl.hierarchical(train, test, "top", "low", ["2"]).select("vec_id", "top", "low", "top_pred", "low_pred", "top_pred_prob")
 
 
 @query("cls05_discriminant")
 def cls05(spark, d):
-    df = _classes(spark, d)
-    return cl.Discriminant.fit(df, "low").predict(df, "pred").select("vec_id", "low", "pred", "pred_prob")
+    train, test = _parts(spark, d)
+    return cl.Discriminant.fit(train, "low").predict(test, "pred").select("vec_id", "low", "pred", "pred_prob")
 
 
 @query("cls06_per_level")
 def cls06(spark, d):
-    df = _classes(spark, d)
-    return cl.per_level(df, df, ["top", "low"]).select("vec_id", "top_pred", "low_pred")
+    train, test = _parts(spark, d)
+    return cl.per_level(train, test, ["top", "low"]).select("vec_id", "top", "low", "top_pred", "low_pred")
 
 
 @query("cls07_bake_off")
@@ -147,8 +153,7 @@ _SPLIT = "CAST('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 7) AS BI
     SELECT vec_id, l AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, l) AS k FROM v) WHERE k = 1""",
 )
 def cls07_neighbours(spark, d):
-    df = _classes(spark, d).withColumn("part", split_flag(["vec_id"]))
-    return cl.nearest(df.where("part = 'train'"), df.where("part = 'test'"), "vec_id", "top", rows_per_block=1000)
+    return cl.nearest(*_parts(spark, d), "vec_id", "top", rows_per_block=1000)
 
 
 @query("cls08_grid_search")

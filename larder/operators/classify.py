@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IDF, PCA, IndexToString, StringIndexer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.metrics import class_weights, classification_metrics
@@ -163,17 +163,20 @@ def nearest(train: DataFrame, df: DataFrame, key: str, label: str, k: int = 5, a
             return pd.DataFrame({"q_key": [], "t_key": [], "label": [], "dist": []})
         right = right.sort_values("t_key")
         a, b = np.stack(left["v"]).astype(float), np.stack(right["v"]).astype(float)
-        names, ids = right["label"].to_numpy(), right["t_key"].to_numpy()
-        out = []
-        for i, row in enumerate(a):
-            dist = ((b - row) ** 2).sum(1).round(12)
-            for j in np.argsort(dist, kind="stable")[:k]:
-                out.append((left["q_key"].iat[i], ids[j], names[j], float(dist[j])))
-        return pd.DataFrame(out, columns=["q_key", "t_key", "label", "dist"])
+        names, ids, asked = right["label"].to_numpy(), right["t_key"].to_numpy(), left["q_key"].to_numpy()
+        square, out = (b * b).sum(1), []
+        for at in range(0, len(a), 256):  # a matrix of 256 rows by one block at a time
+            part = a[at : at + 256]
+            dist = np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ b.T, 0).round(12)
+            rows, cols = np.nonzero(dist <= np.partition(dist, min(k, len(b)) - 1, axis=1)[:, [min(k, len(b)) - 1]])
+            order = np.lexsort((cols, dist[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k  # of ties at the last place, the smaller keys
+            rows, cols = rows[first], cols[first]
+            out.append(pd.DataFrame({"q_key": asked[at + rows], "t_key": ids[cols], "label": names[cols], "dist": dist[rows, cols]}))
+        return pd.concat(out)
 
     found = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(best, "q_key long, t_key long, label string, dist double")
-    from pyspark.sql import Window
-
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q_key").orderBy("dist", "t_key"))).where(F.col("r") <= k)
     votes = ranked.groupBy("q_key", "label").agg(F.count("*").alias("votes"))
     return keep_first(votes, ["q_key"], [F.desc("votes"), F.col("label")]).select(F.col("q_key").alias(key), F.col("label").alias("prediction"))
@@ -209,10 +212,9 @@ def principal_components(df: DataFrame, share: float = 0.8, array: str = "embedd
     """Project on as many principal components as explain ``share`` of the variance."""
     v = vectors(df, array)
     size = v.select(F.size(array)).first()[0]
-    explained = PCA(k=size, inputCol="features", outputCol="pca").fit(v).explainedVariance.toArray()
-    k = int(np.searchsorted(np.cumsum(explained), share - 1e-12) + 1)
-    model = PCA(k=k, inputCol="features", outputCol="pca").fit(v)
-    return model.transform(v).withColumn("pca", vector_to_array("pca")).drop("features"), k
+    model = PCA(k=size, inputCol="features", outputCol="pca").fit(v)
+    k = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), share - 1e-12) + 1)
+    return model.transform(v).withColumn("pca", F.slice(vector_to_array("pca"), 1, k)).drop("features"), k
 
 
 def text_vectors(df: DataFrame, text: str, size: int = 1024) -> DataFrame:

@@ -45,15 +45,15 @@ def impacts_per_100g(items: DataFrame, lca: DataFrame, keys: list[str], indicato
     )
 
 
-def food_frame(items: DataFrame, keys: list[str], brewed_ids: DataFrame | None = None) -> DataFrame:
-    """Amount per product, category and organic flag.
+def food_frame(items: DataFrame, keys: list[str], brewed: DataFrame | None = None) -> DataFrame:
+    """Amount per product, category and organic flag; ``brewed`` holds the keys of the brewed products.
 
     Products with any share of 0 or less are left out; additives count without a category.
     """
     good = anti(items, items.where("percent <= 0"), keys)
     out = good.where("food_category IS NOT NULL").groupBy(*keys, *CATEGORY, "organic").agg(F.sum("percent").alias("amount"))
-    if brewed_ids is not None:
-        out = out.join(brewed_ids.select("id").distinct().withColumn("__b", F.lit(True)), "id", "left")
+    if brewed is not None:
+        out = join_null_safe(out, brewed.select(*keys).distinct().withColumn("__b", F.lit(True)), keys)
         coffee = F.col("__b") & (F.col("food_category") == "Coffee") & (F.col("amount") >= 10)
         out = out.withColumn("brewed", F.when(coffee, "Coffee").otherwise("No")).drop("__b")
     trace = F.col("food_category").isin("Vitamin", "Mineral", "Other Food Additive")

@@ -34,10 +34,12 @@ def nutrition(items: DataFrame, nutrients: DataFrame, packs: DataFrame) -> DataF
 
 
 def monte_carlo(items: DataFrame, lca: DataFrame, reps: int = mc.REPETITIONS, seed: int = 19) -> tuple[DataFrame, DataFrame]:
-    """Impact statistics per product, and the contributions of food categories."""
+    """Impact statistics per product, and the contributions of food categories; a product is its whole key."""
     frame = im.food_frame(items, im.PRODUCT, items.where("brewed = 'Coffee'")).where("food_category IS NOT NULL")
-    frame = frame.withColumn("product", F.col("id"))
+    # the number seeds the draws and keeps a product's rows together; sums are by the whole key
+    number = F.xxhash64(*im.PRODUCT).bitwiseAND(F.lit(2**62 - 1))
+    keys = ["product", *im.PRODUCT]
     observations = reliable_checkpoint(mc.prepared(lca))
-    drawn = mc.ingredient_impacts(mc.sampled(frame, observations, reps, seed))
-    totals = mc.composite(mc.totals_per_product(drawn), observations)
-    return mc.statistics(totals, ["product"], reps), mc.contributions(drawn, ["product"])
+    drawn = mc.ingredient_impacts(mc.sampled(frame.withColumn("product", number), observations, reps, seed))
+    totals = mc.composite(mc.totals_per_product(drawn, keys), observations)
+    return mc.statistics(totals, keys, reps).drop("product"), mc.contributions(drawn, keys).drop("product")

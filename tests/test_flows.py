@@ -6,7 +6,9 @@ from larder.fixtures import derived
 from larder.functions.cleaning import clean_ingredients, correct_structure
 from larder.functions.nested import parse_list, printed_percent_items, split_top_level
 from larder.operators import impacts as im
+from larder.operators import matching as mt
 from larder.operators import reexport, trade
+from larder.operators import regression as rg
 from larder.plans import impacts as pi
 from larder.plans import sourcing as ps
 from larder.streaming.incremental import ingest_new_files
@@ -75,10 +77,30 @@ def test_impact_flow(spark, sf_dir):
     stats, parts = pi.monte_carlo(items, derived(spark, sf_dir, "lca"), reps=20)
     row = stats.where("min_ghg > max_ghg * 10 OR mean_ghg IS NULL").count()
     assert stats.count() > 1000 and row == 0
-    sums = parts.groupBy("product").agg(F.sum("ghg").alias("g"), F.sum("amount").alias("a"))
+    sums = parts.groupBy(*im.PRODUCT).agg(F.sum("ghg").alias("g"), F.sum("amount").alias("a"))
     assert sums.where("abs(g - 1) > 1e-9 OR abs(a - 1) > 1e-9").count() == 0
 
 
+def test_equal_ids_of_two_shops_are_two_products(spark, sf_dir):
+    one_shop = derived(spark, sf_dir, "ingprod").withColumn("percent", F.col("true_percent")).where("id <= 40")
+    other = one_shop.withColumn("retailer", F.concat("retailer", F.lit(" 2")))
+    stats, _ = pi.monte_carlo(pi.scored_items(one_shop.union(other)), derived(spark, sf_dir, "lca"), reps=20)
+    assert stats.count() == stats.select("id", "retailer").distinct().count() == 2 * stats.select("id").distinct().count()
+
+
+def test_minimum_fat_is_butter(spark):
+    rows = [("minimum 82% fat", "Salted Butter", None), ("minimum 82% fat", "Bread", None), ("min. fat", "butter", "Milk")]
+    df = spark.createDataFrame(rows, "v string, p string, c string")
+    assert [r[0] for r in df.select(mt.with_minimum_fat(F.col("v"), F.col("p"), F.col("c"))).collect()] == ["Butter, Cream & Ghee", None, "Milk"]
+
+
+def test_a_fit_covers_places_beyond_64(spark):
+    rows = [("a", p, 100.0 / (p * p)) for p in (1, 65, 129)]
+    fit = rg.position_regression(spark.createDataFrame(rows, "k string, pos int, percent double"), ["k"], forms=(1,), max_pos=1000, min_coverage=0.0)
+    sums = rg.place_sums(spark.createDataFrame(rows, "k string, pos int, percent double"), ["k"])
+    assert sums.agg(rg.fit_sums(1000)["seen"].alias("seen")).first()["seen"] == 3 and fit.first()["accepted"]
+
+
 def test_nutrition_flow(spark, sf_dir):
     composed = derived(spark, sf_dir, "ingprod").withColumn("percent", F.col("true_percent"))
     items = pi.scored_items(composed)
