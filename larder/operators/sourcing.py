@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.session import reliable_checkpoint
+
 LEVELS = ["country", "intermediate_region", "sub_region", "region", "global"]
 
 
 def supply_shares(supply: DataFrame, drop_below: float = 0.1) -> DataFrame:
-    """Percent of each consumer's supply by supplier; small suppliers are left out and the rest adds up to 100."""
-    keys = ["consumer", "category"]
-    s = supply.groupBy(*keys, "supplier").agg(F.sum("qty").alias("qty"))
+    """Percent of each consumer's supply by supplier; small suppliers are left out and the rest adds up to 100.
 
-    def percent(df: DataFrame) -> DataFrame:
-        totals = df.groupBy(*keys).agg(F.sum("qty").alias("__t"))
-        return df.join(totals, keys).withColumn("share", F.try_divide(F.col("qty"), F.col("__t")) * 100).drop("__t")
-
-    return percent(percent(s).where(F.col("share") >= drop_below).drop("share")).where("share > 0").drop("qty")
+    The windows hold the suppliers of one consumer and category: at most as many rows as there are countries.
+    """
+    own = Window.partitionBy("consumer", "category")
+    percent = F.try_divide(F.col("qty"), F.sum("qty").over(own)) * 100
+    s = supply.groupBy("consumer", "category", "supplier").agg(F.sum("qty").alias("qty"))
+    s = s.withColumn("share", percent).where(F.col("share") >= drop_below)
+    return s.withColumn("share", percent).where("share > 0").drop("qty")
 
 
 def _by_level(lca: DataFrame, area: DataFrame) -> DataFrame:
@@ -50,10 +51,11 @@ def reweight(supply: DataFrame, lca: DataFrame, area: DataFrame, least: int = 5)
     """New weights per consumer and observation, and the share that came from each level.
 
     Weights of a consumer and category add up to 100.  Where fewer than ``least`` observations would be left
-    although the category has more, all of them count with their global weights.
+    although the category has more, all of them count with their global weights.  Placed observations and
+    assigned suppliers are each used several times and are written once.
     """
-    by_level = _by_level(lca, area)
-    levels = assigned_levels(supply_shares(supply), by_level, area)
+    by_level = reliable_checkpoint(_by_level(lca, area))
+    levels = reliable_checkpoint(assigned_levels(supply_shares(supply), by_level, area))
     # suppliers that fall back to the same place are added up before observations are attached
     places = levels.groupBy("consumer", "category", "level", "place").agg(F.sum("share").alias("share"))
     weights = places.join(by_level, ["category", "level", "place"])
