@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.relational import keep_first
-
 WORD = "[^a-zà-ÿ]+"
 UNDETERMINED = "und"
 
@@ -29,16 +27,29 @@ def word_profile(labelled: DataFrame, text: str, lang: str, top: int | None = No
     return best.join(totals, "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("share"))
 
 
-def detect_language(df: DataFrame, text: str, key: str, profile: DataFrame, out: str = "language") -> DataFrame:
-    """The language whose profile fits best; 'und' for empty or unknown texts.
+def detect_languages(df: DataFrame, key: str, profile: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The language whose profile fits best, for several texts of a row at once; 'und' for empty or unknown texts.
 
-    The profile may be as large as the languages' vocabularies, so how it is joined is left to measured sizes.
+    ``columns`` maps text columns to the columns of their languages.  The profile may be as large as the languages'
+    vocabularies, so how it is joined is left to measured sizes.
     """
-    hits = words(df, text, [key]).join(profile, "word")
-    scores = hits.groupBy(key, "lang").agg(F.round(F.sum("share"), 9).alias("score"))
-    best = keep_first(scores, [key], [F.desc("score"), F.col("lang")]).select(key, F.col("lang").alias("__lang"))
-    known = F.when(F.length(F.trim(text)) > 1, F.col("__lang"))
-    return df.join(best, key, "left").withColumn(out, F.coalesce(known, F.lit(UNDETERMINED))).drop("__lang")
+
+    def tagged(column: str) -> Column:
+        found = F.split(F.lower(F.coalesce(column, F.lit(""))), WORD)
+        return F.transform(found, lambda w: F.struct(F.lit(column).alias("which"), w.alias("word")))
+
+    hits = df.select(key, F.explode(F.flatten(F.array(*map(tagged, columns)))).alias("x")).select(key, "x.*").where("word <> ''").join(profile, "word")
+    scores = hits.groupBy(key, "which", "lang").agg(F.round(F.sum("share"), 9).alias("score"))
+    best = {c: F.min(F.when(F.col("which") == c, F.struct(-F.col("score"), F.col("lang").alias("lang")))).getField("lang") for c in columns}
+    best = scores.groupBy(key).agg(*[v.alias(f"__{out}") for v, out in zip(best.values(), columns.values(), strict=True)])
+    out = df.join(best, key, "left")
+    known = {o: F.when(F.length(F.trim(c)) > 1, F.col(f"__{o}")) for c, o in columns.items()}
+    return out.withColumns({o: F.coalesce(v, F.lit(UNDETERMINED)) for o, v in known.items()}).drop(*[f"__{o}" for o in columns.values()])
+
+
+def detect_language(df: DataFrame, text: str, key: str, profile: DataFrame, out: str = "language") -> DataFrame:
+    """The language of one text per row; see :func:`detect_languages`."""
+    return detect_languages(df, key, profile, {text: out})
 
 
 def translated(df: DataFrame, text: str, cache: DataFrame, out: str) -> DataFrame:

@@ -72,22 +72,30 @@ def running_counts(freq: DataFrame, value: str, count: str) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
-    """Exact interpolated quantiles: equal values are merged first, then ranked by a distributed sort."""
-    freq = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    ranked = running_counts(freq, "v", "n")
-    total = ranked.agg(F.max(F.col("below") + F.col("n"))).scalar()
+def exact_quantiles_by(df: DataFrame, group: str, column: str, probabilities: list[float]) -> DataFrame:
+    """Rows (group, probability, value): exact interpolated quantiles of each group by one distributed sort.
+
+    Equal values are merged first, so that a large group is no single task.
+    """
+    freq = df.where(F.col(column).isNotNull()).groupBy(F.struct(F.col(group).alias("g"), F.col(column).alias("v")).alias("v")).agg(F.count("*").alias("n"))
+    ranked = running_counts(freq, "v", "n").select(F.col("v.g").alias(group), "v.v", "n", "below")
+    ends = ranked.groupBy(group).agg(F.min("below").alias("__first"), F.sum("n").alias("__total"))
+    ranked = ranked.join(ends, group).withColumn("below", F.col("below") - F.col("__first"))
     outs = []
     for i, p in enumerate(probabilities):
-        place = F.lit(float(p)) * (total - 1)
+        place = F.lit(float(p)) * (F.col("__total") - 1)
         for side, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             inside = (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
             outs.append(F.max(F.when(inside, F.col("v"))).alias(f"{side}{i}"))
         outs.append(F.max(place - F.floor(place)).alias(f"w{i}"))
-    picked = ranked.agg(*outs)
+    picked = ranked.groupBy(group).agg(*outs)
     rows = [
-        F.struct(F.lit(float(p)).alias("probability"),
-                 (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias("value"))
+        F.struct(F.lit(float(p)).alias("probability"), (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias("value"))
         for i, p in enumerate(probabilities)
     ]
-    return picked.select(F.explode(F.array(*rows)).alias("q")).select("q.*")
+    return picked.select(group, F.explode(F.array(*rows)).alias("q")).select(group, "q.*")
+
+
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
+    """Rows (probability, value) of one column; see :func:`exact_quantiles_by`."""
+    return exact_quantiles_by(df.select(F.lit(0).alias("__all"), column), "__all", column, probabilities).drop("__all")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators.ordering import exact_quantiles
+from larder.operators.ordering import exact_quantiles_by
 from larder.operators.relational import with_totals
 
 # ---- fixed values: 97.5% points of Student's t for 1..10 degrees of freedom ----------------------
@@ -61,18 +61,17 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, share of nulls, mean, sd, extremes and exact quartiles of each numeric column."""
-    parts = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        base = df.agg(
-            F.count(c).alias("n"), F.avg(F.col(c).isNull().cast("double")).alias("null_share"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"),
-        )
-        q = exact_quantiles(df.select(v.alias(c)), c, [0.25, 0.5, 0.75])
-        q = q.agg(*[F.max(F.when(F.col("probability") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
-        parts.append(base.select(F.lit(c).alias("column"), "*", *[q.select(n).scalar().alias(n) for n in ("q25", "median", "q75")]))
-    return reduce(DataFrame.unionByName, parts)
+    """Count, share of nulls, mean, sd, extremes and exact quartiles of each numeric column, from two passes for all columns."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(F.explode(pairs).alias("x")).select("x.*")
+    base = long.groupBy("column").agg(
+        F.count("v").alias("n"), F.avg(F.col("v").isNull().cast("double")).alias("null_share"), F.avg("v").alias("mean"),
+        F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"),
+    )
+    q = exact_quantiles_by(long, "column", "v", [0.25, 0.5, 0.75])
+    picked = [F.max(F.when(F.col("probability") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(base, "column", "left")  # an empty table has its columns too
+    return every.withColumn("n", F.coalesce("n", F.lit(0))).join(q.groupBy("column").agg(*picked), "column", "left")
 
 
 def shares(df: DataFrame, keys: list[str], weight: str, target: float = 100.0, out: str = "share") -> DataFrame:
@@ -91,13 +90,11 @@ def scaled_by_max(df: DataFrame, columns: list[str], factor: float = 1.0, prefix
                   among: Column | None = None) -> DataFrame:
     """Divide columns by their maximum, optionally the maximum among some rows only.
 
-    The maxima are one-row subqueries of a single combined aggregation.
+    The maxima are one row of a single aggregation.
     """
     seen = df if among is None else df.where(among)
-    for c in columns:
-        top = seen.agg(F.max(c)).scalar()
-        df = df.withColumn(f"{prefix}{c}{suffix}", F.try_divide(F.col(c), top) * factor)
-    return df
+    tops = seen.agg(F.struct(*[F.max(c).alias(c) for c in columns]).alias("v")).scalar()
+    return df.withColumns({f"{prefix}{c}{suffix}": F.try_divide(F.col(c), tops[c]) * factor for c in columns})
 
 
 def supported_mean(df: DataFrame, keys: list[str], pos: str, percent: str, at_least: int = 10, count_all: bool = False,

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import cleaning, columns, foods, labels
-from larder.operators.language import UNDETERMINED, detect_language
+from larder.operators.language import UNDETERMINED, detect_languages
 from larder.operators.ordering import surrogate_id
 from larder.operators.relational import keep_first, minimum_frequency
+from larder.session import reliable_checkpoint
 
 DATE_PREFIX = "29112024"
 EXCLUDED = ["Alcoholic Beverages", "Not Food"]
@@ -26,9 +27,8 @@ def open_products(raw: DataFrame, profile: DataFrame, min_per_country: int = 100
     df = df.withColumn("__name", F.lower("product_name"))
     keys = ["__name", "ingredients_text", "country"]
     df = keep_first(df, keys, [F.col("product_name"), *[F.col(c) for c in df.columns if c not in (*keys, "product_name")]])
-    df = surrogate_id(df, keys, DATE_PREFIX).drop("__name")
-    df = detect_language(df, "ingredients_text", "product_id", profile, "ingredients_language")
-    df = detect_language(df, "product_name", "product_id", profile, "name_language")
+    df = reliable_checkpoint(surrogate_id(df, keys, DATE_PREFIX).drop("__name"))
+    df = detect_languages(df, "product_id", profile, {"ingredients_text": "ingredients_language", "product_name": "name_language"})
     route = foods.language_route(F.col("ingredients_language"), F.col("name_language"), F.col("ingredients_text"))
     # English names over foreign ingredients belong to no route
     return df.withColumn("route", route).where("route IS NOT NULL")
