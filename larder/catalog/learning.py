@@ -13,7 +13,8 @@ from larder.operators import labels as la
 from larder.operators import language as lg
 from larder.operators import metrics as me
 from larder.operators.ordering import split_flag
-from larder.plans import ingest
+from larder.plans import classification, ingest
+from larder.session import scratch_path
 from larder.sources.scans import edited
 
 _JUDGED = "SELECT d.doc_id, l.quality AS label, CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS pred FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
@@ -126,6 +127,16 @@ def cls03(spark, d):
     return cl.hierarchical(train, test, "top", "low", ["2"]).select("vec_id", "top", "low", "top_pred", "low_pred", "top_pred_prob")
 
 
+@query("cls16_stored_models")
+def cls16(spark, d):
+    """Stored models of each class read back, gates applied."""
+    train, test = _parts(spark, d)
+    train = train.select("vec_id", "embedding", F.col("top").alias("parent"), F.concat(F.lit("main "), F.col("low").cast("int") % 2).alias("main"), F.col("low").alias("sub"))
+    path = scratch_path(spark, "models")
+    classification.store_models(train, path, ["2"])
+    return classification.predictions(test.select("vec_id", "embedding"), train, path).drop("embedding")
+
+
 @query("cls05_discriminant")
 def cls05(spark, d):
     train, test = _parts(spark, d)
@@ -162,14 +173,26 @@ def cls08(spark, d):
     return cl.grid_search(cl.vectors(_classes(spark, d)), "vec_id", "top", grid)
 
 
-@query("cls09_confidence", "SELECT vec_id, round(list_max(embedding)::DOUBLE, 6) AS confidence FROM embeddings")
+_CENTRES = f"""WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding::DOUBLE[] AS v, {_SPLIT} AS train FROM embeddings),
+  u AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e WHERE train) GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS centre FROM u GROUP BY 1),
+  s AS (SELECT vec_id, c.label AS class, list_cosine_similarity(v, centre) AS score FROM e, c WHERE NOT train)"""
+
+
+def _centre_scores(spark, d):
+    train, test = _parts(spark, d)
+    return cl.centre_scores(train, test, "low")
+
+
+@query("cls09_confidence", _CENTRES + " SELECT vec_id, round(1 / sum(exp(score - top)), 6) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY vec_id) AS top FROM s) GROUP BY 1")
 def cls09(spark, d):
-    return derived(spark, d, "embeddings").select("vec_id", F.round(F.array_max("embedding").cast("double"), 6).alias("confidence"))
+    return _centre_scores(spark, d).select("vec_id", F.round(cl.confidence(F.col("scores.score")), 6).alias("confidence"))
 
 
-@query("cls15_top_class", "SELECT vec_id, 'class ' || (list_position(embedding, list_max(embedding)) - 1) AS best FROM embeddings")
+@query("cls15_top_class", _CENTRES + " SELECT vec_id, arg_max(class, score) AS best FROM s GROUP BY 1")
 def cls15(spark, d):
-    return derived(spark, d, "embeddings").select("vec_id", cl.top_class(F.col("embedding"), [f"class {i}" for i in range(64)]).alias("best"))
+    scored = _centre_scores(spark, d)
+    names = [r["class"] for r in scored.select("scores").first()["scores"]]
+    return scored.select("vec_id", cl.top_class(F.col("scores.score"), names).alias("best"))
 
 
 @query("cls10_text_vectors")

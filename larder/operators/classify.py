@@ -10,10 +10,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IDF, PCA, IndexToString, StringIndexer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.metrics import class_weights, classification_metrics
+from larder.operators.metrics import class_weights, classification_metrics, cosine
 from larder.operators.ordering import split_flag
 from larder.operators.relational import bounded_rows, keep_first
 
@@ -74,28 +75,44 @@ class Discriminant:
 
     @classmethod
     def fit(cls, train: DataFrame, label: str, array: str = "embedding") -> Discriminant:
-        """Tasks send sums of a few numbers per class and one matrix of products; the solve is d x d."""
+        """One model over all rows."""
+        return cls.fit_each(train, F.lit("all"), label, array)["all"]
+
+    @classmethod
+    def fit_each(cls, train: DataFrame, model: Column, label: str, array: str = "embedding") -> dict[str, Discriminant]:
+        """A model for each value of ``model``, all from one pass over the rows.
+
+        Tasks send sums of a few numbers per class and one matrix of products per model; the solves are d x d.
+        """
 
         def sums(batches):
-            by_class, square = {}, None
+            by_class, squares = {}, {}
             for pdf in batches:
-                x = np.stack(pdf["x"].to_numpy()).astype(float)
-                square = x.T @ x if square is None else square + x.T @ x
-                for k, rows in pdf.groupby("k").indices.items():
+                x = np.stack(pdf["x"].to_numpy()).astype(float) if len(pdf) else np.empty((0, 0))
+                for m, rows in pdf.groupby("m").indices.items():
+                    squares[m] = squares.get(m, 0.0) + x[rows].T @ x[rows]
+                for k, rows in pdf.groupby(["m", "k"]).indices.items():
                     n, s = by_class.get(k, (0, 0.0))
                     by_class[k] = (n + len(rows), s + x[rows].sum(0))
-            if square is not None:
-                yield pd.DataFrame([("", 0, square.ravel().tolist())] + [(k, n, s.tolist()) for k, (n, s) in by_class.items()], columns=["k", "n", "v"])
-
-        from pyspark.ml.stat import Summarizer
-
-        parts = train.select(F.col(label).cast("string").alias("k"), F.col(array).cast("array<double>").alias("x")).mapInPandas(sums, "k string, n long, v array<double>")
-        total = parts.groupBy("k").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-        rows = {r["k"]: r for r in bounded_rows(total, MAX_CLASSES, "the class table")}
-        square = np.array(rows.pop("")["v"])
-        names = sorted(rows)
-        n = np.array([rows[k]["n"] for k in names], float)
-        means = np.array([np.array(rows[k]["v"]) / rows[k]["n"] for k in names])
+            if squares:
+                rows = [(m, None, 0, v.ravel().tolist()) for m, v in squares.items()] + [(m, k, n, s.tolist()) for (m, k), (n, s) in by_class.items()]
+                yield pd.DataFrame(rows, columns=["m", "k", "n", "v"])
+
+        rows = train.select(model.cast("string").alias("m"), F.col(label).cast("string").alias("k"), F.col(array).cast("array<double>").alias("x"))
+        parts = rows.where("m IS NOT NULL AND k IS NOT NULL AND x IS NOT NULL").mapInPandas(sums, "m string, k string, n long, v array<double>")
+        total = parts.groupBy("m", "k").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+        by_model: dict[str, dict] = {}
+        for r in bounded_rows(total, MAX_CLASSES, "the class table"):
+            by_model.setdefault(r["m"], {})[r["k"]] = (r["n"], np.array(r["v"]))
+        return {m: cls._solved(classes) for m, classes in sorted(by_model.items())}
+
+    @classmethod
+    def _solved(cls, classes: dict) -> Discriminant:
+        """From (rows, sum) of each class and, under None, the sum of products of all rows."""
+        square = classes.pop(None)[1]
+        names = sorted(classes)
+        n = np.array([classes[k][0] for k in names], float)
+        means = np.array([classes[k][1] / classes[k][0] for k in names])
         d = means.shape[1]
         within = square.reshape(d, d) - (means * n[:, None]).T @ means
         cov = within / max(n.sum() - len(names), 1)
@@ -103,16 +120,20 @@ class Discriminant:
         offsets = -0.5 * np.einsum("kd,dk->k", means, weights) + np.log(n / n.sum())
         return cls(names, weights, offsets)
 
+    def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the best class of each row, and its probability."""
+        z = x @ self.weights + self.offsets
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z.argmax(1), z.max(1) / z.sum(1)
+
     def predict(self, df: DataFrame, prefix: str, array: str = "embedding") -> DataFrame:
         """Adds the predicted class and its probability; one matrix product per Arrow batch."""
-        names, weights, offsets = self.names, self.weights, self.offsets
+        model = self
 
         @F.pandas_udf("struct<name:string,prob:double>")
         def score(x: pd.Series) -> pd.DataFrame:
-            z = np.stack(x.to_numpy()).astype(float) @ weights + offsets
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            return pd.DataFrame({"name": [names[i] for i in z.argmax(1)], "prob": z.max(1)})
+            best, prob = model.scores(np.stack(x.to_numpy()).astype(float))
+            return pd.DataFrame({"name": [model.names[i] for i in best], "prob": prob})
 
         out = df.withColumn("__s", score(F.col(array).cast("array<double>")))
         return out.select(*df.columns, F.col("__s.name").alias(prefix), F.col("__s.prob").alias(f"{prefix}_prob"))
@@ -125,23 +146,80 @@ def per_level(train: DataFrame, df: DataFrame, levels: list[str]) -> DataFrame:
     return df
 
 
-def hierarchical(train: DataFrame, df: DataFrame, top: str, low: str, leaves: list[str], fit=None) -> DataFrame:
-    """Two steps: the top class first, then the lower class by a model of that top class.
+class Levels:
+    """A model of the top classes and one for each top class with several classes below; stored as one small table."""
 
-    Classes in ``leaves`` repeat their name below.  There are a dozen top classes; their predictions are
-    stacked.
-    """
-    fit = fit or (lambda t, label: Discriminant.fit(t, label).predict)
-    df = fit(train, top)(df, f"{top}_pred")
-    parts = []
-    for (name,) in bounded_rows(train.select(top).distinct().orderBy(top), MAX_CLASSES, "the top level"):
-        own = df.where(F.col(f"{top}_pred") == name)
-        few = train.where((F.col(top) == name) & F.col(low).isNotNull())
-        if name in leaves or few.select(low).distinct().count() < 2:
-            parts.append(own.withColumn(f"{low}_pred", F.lit(name)).withColumn(f"{low}_pred_prob", F.lit(None).cast("double")))
-        else:
-            parts.append(fit(few, low)(own, f"{low}_pred"))
-    return reduce(DataFrame.unionByName, parts)
+    SCHEMA = "model string, class string, weights array<double>, offset double"
+
+    def __init__(self, top: Discriminant, low: dict[str, Discriminant]):
+        self.top, self.low = top, low
+
+    @classmethod
+    def fit(cls, train: DataFrame, top: str, low: str, leaves: list[str], array: str = "embedding") -> Levels:
+        """Classes in ``leaves`` get no model below.  All lower models come from one pass."""
+        few = Discriminant.fit_each(train.where(~F.col(top).isin(leaves)) if leaves else train, F.col(top), low, array)
+        return cls(Discriminant.fit(train, top, array), {m: d for m, d in few.items() if len(d.names) > 1})
+
+    def save(self, spark, path: str) -> None:
+        """The top model has no name."""
+        rows = [(m, c, d.weights[:, i].tolist(), float(d.offsets[i])) for m, d in [(None, self.top), *self.low.items()] for i, c in enumerate(d.names)]
+        spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Levels:
+        by_model: dict = {}
+        for r in sorted(bounded_rows(spark.read.schema(cls.SCHEMA).parquet(path), MAX_CLASSES, "the stored models"), key=lambda r: r["class"]):
+            by_model.setdefault(r["model"], []).append(r)
+        read = {m: Discriminant([r["class"] for r in rows], np.array([r["weights"] for r in rows]).T, np.array([r["offset"] for r in rows])) for m, rows in by_model.items()}
+        return cls(read.pop(None), read)
+
+    def predict(self, df: DataFrame, top: str, low: str, array: str = "embedding") -> DataFrame:
+        """Adds ``<top>_pred``, ``<low>_pred`` and their probabilities in one pass.
+
+        Where the top class has no model below, its name is repeated without a probability.  Rows without a vector get no class.
+        """
+        upper, lower = self.top, self.low
+
+        @F.pandas_udf("struct<top:string,top_prob:double,low:string,low_prob:double>")
+        def score(x: pd.Series) -> pd.DataFrame:
+            names, probs = np.full((2, len(x)), None, object), np.full((2, len(x)), np.nan)
+            there = np.flatnonzero(x.notna().to_numpy())
+            if len(there):
+                v = np.stack(x.to_numpy()[there]).astype(float)
+                best, probs[0, there] = upper.scores(v)
+                names[0, there] = names[1, there] = np.array(upper.names, object)[best]
+                for i in np.unique(best):
+                    if (model := lower.get(upper.names[i])) is not None:
+                        own = best == i
+                        at, probs[1, there[own]] = model.scores(v[own])
+                        names[1, there[own]] = np.array(model.names, object)[at]
+            return pd.DataFrame({"top": names[0], "top_prob": probs[0], "low": names[1], "low_prob": probs[1]})
+
+        out = df.withColumn("__s", score(F.col(array).cast("array<double>")))
+        prob = lambda c: F.nanvl(F.col(f"__s.{c}"), F.lit(None).cast("double"))
+        return out.select(
+            *df.columns, F.col("__s.top").alias(f"{top}_pred"), prob("top_prob").alias(f"{top}_pred_prob"),
+            F.col("__s.low").alias(f"{low}_pred"), prob("low_prob").alias(f"{low}_pred_prob"),
+        )
+
+
+def hierarchical(train: DataFrame, df: DataFrame, top: str, low: str, leaves: list[str]) -> DataFrame:
+    """Two steps: the top class first, then the lower class by a model of that top class; see :class:`Levels`."""
+    return Levels.fit(train, top, low, leaves).predict(df, top, low)
+
+
+def centre_scores(train: DataFrame, df: DataFrame, label: str, array: str = "embedding") -> DataFrame:
+    """Adds ``scores``, an array of (score, class) by class: the cosine of a row and the mean vector of each class."""
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(array).cast("array<double>"))))
+    centres = bounded_rows(train.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("class")).agg(mean.alias("centre")), MAX_CLASSES, "the class centres")
+    scored = [F.struct(cosine(F.col(array), F.lit(r["centre"])).alias("score"), F.lit(r["class"]).alias("class")) for r in sorted(centres, key=lambda r: r["class"])]
+    return df.withColumn("scores", F.array(*scored))
+
+
+def confidence(scores: Column) -> Column:
+    """Share of the highest score among the exponentials of all scores."""
+    top = F.array_max(scores)
+    return 1 / F.aggregate(scores, F.lit(0.0), lambda total, s: total + F.exp(s - top))
 
 
 def nearest(train: DataFrame, df: DataFrame, key: str, label: str, k: int = 5, array: str = "embedding", rows_per_block: int = 20000) -> DataFrame:

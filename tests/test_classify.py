@@ -12,6 +12,7 @@ from larder.catalog import QUERIES
 from larder.fixtures import derived
 from larder.operators import classify as cl
 from larder.operators.ordering import split_flag
+from larder.plans import classification
 
 
 def accuracy(df, label, pred):
@@ -94,3 +95,35 @@ def test_text_vectors_weigh_terms_by_rarity(spark, sf_dir):
     idf = np.log((n + 1) / (sum((v > 0).astype(int) for v in counts.values()) + 1))
     for r in cl.text_vectors(docs, "text", size).limit(40).collect():
         assert math.isclose(np.abs(r["features"].toArray() - counts[r["doc_id"]] * idf).max(), 0, abs_tol=1e-6)
+
+
+def test_stored_models_predict_as_fitted_ones(spark, told_apart, tmp_path):
+    train, test = told_apart
+    fitted = cl.Levels.fit(train, "top", "low", ["2"])
+    fitted.save(spark, str(tmp_path / "models"))
+    loaded = cl.Levels.load(spark, str(tmp_path / "models"))
+    assert sorted(loaded.low) == ["0", "1"]
+    a, b = (m.predict(test, "top", "low").select("vec_id", "top_pred", "low_pred", "top_pred_prob", "low_pred_prob").collect() for m in (fitted, loaded))
+    assert sorted(a) == sorted(b)
+    assert all(r["low_pred"] == "2" and r["low_pred_prob"] is None for r in a if r["top_pred"] == "2")
+    # a lower model equals one fitted on the rows of its class alone
+    alone = cl.Discriminant.fit(train.where("top = '1'"), "low")
+    assert alone.names == fitted.low["1"].names and np.allclose(alone.weights, fitted.low["1"].weights)
+
+
+def test_classification_flow(spark, told_apart, tmp_path):
+    train, test = told_apart
+    named = lambda df: df.select("vec_id", "embedding", F.col("top").alias("parent"), F.concat(F.lit("main "), F.col("low").cast("int") % 2).alias("main"), F.col("low").alias("sub"))
+    labelled, path = named(train), str(tmp_path / "models")
+    metrics, covered = classification.held_out(named(train.union(test)), "vec_id", path, ["2"])
+    assert metrics.where("level = 'parent'").first()["accuracy"] >= 0.8
+    assert 0 < covered.first()["confident"] <= covered.first()["n"]
+    classification.store_models(labelled, path, ["2"])
+    asked = test.select("vec_id", "embedding").union(spark.createDataFrame([(-1, None)], "vec_id long, embedding array<float>"))
+    rows = {r["vec_id"]: r for r in classification.predictions(asked, labelled, path).collect()}
+    assert len(rows) == test.count() + 1
+    none = rows.pop(-1)
+    assert none["parent"] is None and none["main"] is None and not none["confident"]
+    for r in rows.values():
+        assert r["main"] == ("2" if r["parent"] == "2" else f"main {int(r['sub']) % 2}")
+        assert r["confident"] == (r["parent_prob"] > 0.8 and (r["sub_prob"] is None or r["sub_prob"] > 0.8))
