@@ -52,6 +52,19 @@ def risk_group(value: Column, product_name: Column, category: Column) -> Column:
     return out
 
 
+def sweet_drinks(nutrition: DataFrame, packs: DataFrame | None = None) -> DataFrame:
+    """Names of drinks with much sugar, estimated or printed.
+
+    ``nutrition`` needs ``product_name``, ``drinks`` and ``sugar``; ``packs`` has ``sugar_pack``.
+    """
+    drinks = nutrition.where("drinks = 'Drinks'")
+    names = drinks.where(F.col("sugar") >= SWEET_DRINK_SUGAR).select("product_name")
+    if packs is not None:
+        printed = packs.where(F.col("sugar_pack") >= SWEET_DRINK_SUGAR).select("product_name")
+        names = names.union(drinks.select("product_name").join(printed, "product_name", "left_semi"))
+    return names.distinct()
+
+
 def risk_per_100g(risks: DataFrame, servings: dict[str, float] = SERVINGS) -> DataFrame:
     """Relative risk per serving raised to 100 g."""
     size = risks.sparkSession.createDataFrame([(k, float(v)) for k, v in servings.items()], "rr_group string, serving double")

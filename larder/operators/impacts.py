@@ -169,21 +169,31 @@ def scaled_bases(df: DataFrame, indicators: list[str], among: Column | None = No
     return df
 
 
-def scaled_statistics(df: DataFrame, indicators: list[str], statistics: list[str], points: str = "score_points") -> DataFrame:
-    """Statistics columns ``<statistic>_<indicator>`` on a 0-100 scale set by the largest mean, with their totals.
+def per_serving(df: DataFrame, indicators: list[str], statistics: list[str]) -> DataFrame:
+    """Statistics ``<statistic>_<indicator>`` per 100 g, also per serving as ``serving_<statistic>_<indicator>``."""
+    return df.withColumns({f"serving_{s}_{i}": F.col(f"{s}_{i}") * F.col("serving_value") / 100 for i in indicators for s in statistics})
 
-    The nutrition score is moved and scaled to 0-100 as well.
+
+def scaled_statistics(df: DataFrame, indicators: list[str], statistics: list[str], points: str | None = "score_points", prefix: str = "") -> DataFrame:
+    """Statistics columns ``<prefix><statistic>_<indicator>`` on a 0-100 scale set by the largest mean, with their totals.
+
+    The nutrition score is moved and scaled to 0-100 as well, unless ``points`` is None.  The extremes are fetched as
+    numbers (one row each), so that plans of several scalings don't contain each other.
     """
-    extremes = df.agg(F.struct(*[F.max(f"mean_{i}").alias(i) for i in indicators], F.min(points).alias("low"), F.max(points).alias("high")).alias("v")).scalar()
-    df = df.withColumns({f"scaled_{s}_{i}": F.try_divide(F.col(f"{s}_{i}"), extremes[i]) * 100 for i in indicators for s in statistics})
+    seen = [F.max(f"{prefix}mean_{i}").alias(i) for i in indicators]
+    seen += [] if points is None else [F.min(points).alias("low"), F.max(points).alias("high")]
+    extremes = df.agg(*seen).first()
+    df = df.withColumns({f"scaled_{prefix}{s}_{i}": F.try_divide(F.col(f"{prefix}{s}_{i}"), F.lit(extremes[i])) * 100 for i in indicators for s in statistics})
     totals = {}
     for s in statistics:
-        parts = [F.col(f"scaled_{s}_{i}") for i in indicators]
-        totals[f"total_scaled_{s}"] = sum(parts[1:], parts[0]) / len(parts)
+        parts = [F.col(f"scaled_{prefix}{s}_{i}") for i in indicators]
+        totals[f"total_scaled_{prefix}{s}"] = sum(parts[1:], parts[0]) / len(parts)
     df = df.withColumns(totals)
-    top = df.agg(F.max("total_scaled_mean")).scalar()
-    low, high = extremes["low"], extremes["high"]
-    df = df.withColumns({f"total_scaled_{s}": F.try_divide(F.col(f"total_scaled_{s}"), top) * 100 for s in statistics})
+    top = df.agg(F.max(f"total_scaled_{prefix}mean")).first()[0]
+    df = df.withColumns({c: F.try_divide(F.col(c), F.lit(top)) * 100 for c in totals})
+    if points is None:
+        return df
+    low, high = F.lit(extremes["low"]), F.lit(extremes["high"])
     return df.withColumn("score_scaled", F.try_divide(F.col(points) + F.abs(low), high + F.abs(low)) * 100)
 
 

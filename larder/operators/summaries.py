@@ -90,11 +90,11 @@ def scaled_by_max(df: DataFrame, columns: list[str], factor: float = 1.0, prefix
                   among: Column | None = None) -> DataFrame:
     """Divide columns by their maximum, optionally the maximum among some rows only.
 
-    The maxima are one row of a single aggregation.
+    The maxima are fetched as numbers, one row of a single aggregation.
     """
     seen = df if among is None else df.where(among)
-    tops = seen.agg(F.struct(*[F.max(c).alias(c) for c in columns]).alias("v")).scalar()
-    return df.withColumns({f"{prefix}{c}{suffix}": F.try_divide(F.col(c), tops[c]) * factor for c in columns})
+    tops = seen.agg(*[F.max(c).alias(c) for c in columns]).first()
+    return df.withColumns({f"{prefix}{c}{suffix}": F.try_divide(F.col(c), F.lit(tops[c])) * factor for c in columns})
 
 
 def supported_mean(df: DataFrame, keys: list[str], pos: str, percent: str, at_least: int = 10, count_all: bool = False,

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions import foods
+from larder.functions import foods, labels
 from larder.functions.nutriscore import nutri_score
+from larder.operators import health, matching
 from larder.operators import impacts as im
-from larder.operators import matching
+from larder.operators import lca as lc
 from larder.operators import montecarlo as mc
 from larder.session import reliable_checkpoint
 
@@ -43,3 +44,36 @@ def monte_carlo(items: DataFrame, lca: DataFrame, reps: int = mc.REPETITIONS, se
     drawn = mc.ingredient_impacts(mc.sampled(frame.withColumn("product", number), observations, reps, seed))
     totals = mc.composite(mc.totals_per_product(drawn, keys), observations)
     return mc.statistics(totals, keys, reps).drop("product"), mc.contributions(drawn, keys).drop("product")
+
+
+def servings(products: DataFrame) -> DataFrame:
+    """Serving size per product name from the printed text (``serving_text``), else the mean of its shelf, aisle or department."""
+    printed = labels.serving(F.col("serving_text"), F.col("product_name"))
+    return im.imputed_serving(products.withColumn("__s", printed).withColumn("serving_value", F.col("__s.value").cast("double")).drop("__s"))
+
+
+def final_tables(
+    composed: DataFrame, observations: DataFrame, nutrients: DataFrame, packs: DataFrame, products: DataFrame, risks: DataFrame,
+    assembly: tuple[DataFrame, DataFrame] | None = None, capture: DataFrame | None = None, reps: int = mc.REPETITIONS, seed: int = 19,
+    indicators: list[str] = lc.SCORED,
+) -> dict[str, DataFrame]:
+    """All result tables of scored products.
+
+    ``impacts``: statistics per 100 g and per serving with both scalings, the four bases with theirs, nutrition and letter;
+    ``contributions`` of food categories; ``relative_risk`` per product name and outcome.  ``products`` needs ``serving_text``
+    and the keys of a product; ``assembly`` holds the sub-categories and ratios that turn raw ``observations`` into all foods.
+    """
+    lca = observations if assembly is None else lc.assembled(observations, *assembly, capture)
+    items = reliable_checkpoint(scored_items(composed))
+    stats, parts = monte_carlo(items, lca, reps, seed)
+    scores = reliable_checkpoint(nutrition(items, nutrients, packs))
+    wide = stats.join(scores.drop("country_group"), im.PRODUCT).join(servings(products), "product_name", "left")
+    wide = reliable_checkpoint(wide)  # scaled by its own maxima
+    kinds = ["mean", "lower_ci", "upper_ci", *mc.RANKS]
+    wide = im.scaled_statistics(im.per_serving(wide, indicators, kinds), indicators, kinds)
+    wide = im.scaled_statistics(wide, indicators, kinds, None, "serving_")
+    wide = im.scaled_bases(im.per_basis(wide.withColumns({f"{i}_100g": F.col(f"mean_{i}") for i in indicators}), indicators), indicators)
+    grouped = items.withColumn("rr_group", health.risk_group(F.col("value"), F.col("product_name"), F.col("food_category")))
+    alcohol = scores.where("alcohol = 'Alcohol'").select("product_name").distinct()
+    risk = health.relative_risk(grouped, risks, health.sweet_drinks(scores, packs), alcohol)
+    return {"impacts": wide, "contributions": parts, "relative_risk": risk}

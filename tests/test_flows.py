@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from larder.fixtures import derived
 from larder.functions.cleaning import clean_ingredients, correct_structure
 from larder.functions.nested import parse_list, printed_percent_items, split_top_level
+from larder.operators import health
 from larder.operators import impacts as im
+from larder.operators import lca as lc
 from larder.operators import matching as mt
 from larder.operators import reexport, trade
 from larder.operators import regression as rg
@@ -110,6 +112,38 @@ def test_nutrition_flow(spark, sf_dir):
     assert out.count() > 1000 and out.where("score_letter IS NULL").count() == 0
 
 
+def test_final_tables(spark, sf_dir):
+    """From composition to statistics, bases, both scalings and relative risk, on assembled observations."""
+    names = {"SMALL": "Pig Meat", "MEDIUM": "Milk", "LARGE": "Apples", "PROMO": "Rice", "ECONOMY": "Poultry Meat", "STANDARD": "Cane Sugar"}
+    renamed = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    food = lambda df: df.withColumn("food_category", F.coalesce(renamed[F.col("food_category")], "food_category"))
+    composed = food(derived(spark, sf_dir, "ingprod").withColumn("percent", F.col("true_percent")))
+    lca = food(derived(spark, sf_dir, "lca"))
+    raw = lca.select(*[c for c in lca.columns if c not in ("food_category_sub", "food_category_sub_sub")], F.coalesce("food_category_sub", F.lit("any")).alias("product_details"))
+    subs = lca.select("food_category", F.coalesce("food_category_sub", F.lit("any")).alias("product_details"), "food_category_sub", F.lit(None).cast("string").alias("food_category_sub_sub")).distinct()
+    ratios = spark.createDataFrame([("Butter, Cream & Ghee", "Milk", *[0.5] * len(lc.INDICATORS))], ["derived", "original", *lc.INDICATORS])
+    base = lca.groupBy("food_category").agg(*[F.avg("eut").alias(n) for n in im.NUTRIENTS])
+    packs = composed.select("product_name").distinct().withColumns({f"{n}_pack": F.lit(5.0) for n in im.PACK})
+    products = composed.select(*im.PRODUCT).distinct().withColumn("serving_text", F.when(F.col("id") % 3 == 0, "serving 30g"))
+    risks = spark.createDataFrame([("Fruits", "ACM", 0.94, 0.9, 0.97), ("Dairy", "ACM", 0.98, 0.95, 1.01)], "rr_group string, outcome string, mean_rr double, lower_rr double, upper_rr double")
+    out = pi.final_tables(composed, raw, base, packs, products, risks, (subs, ratios), reps=20)
+    wide = out["impacts"].cache()
+    assert wide.count() > 1000 and wide.select(*im.PRODUCT).distinct().count() == wide.count()
+    tops = wide.agg(F.max("scaled_mean_ghg"), F.max("scaled_serving_mean_ghg"), F.max("total_scaled_mean"), F.max("total_scaled_serving_mean"), F.max("ghg_protein_scaled")).first()
+    assert all(abs(x - y) < 1e-9 for x, y in zip(tops, (100, 100, 100, 100, 1), strict=True))
+    assert wide.where("abs(serving_mean_ghg - mean_ghg * serving_value / 100) > 1e-9 OR serving_value IS NULL OR score_letter IS NULL").count() == 0
+    assert wide.where("serving_value = 30").count() > 0 and out["contributions"].count() > wide.count()
+    risk = out["relative_risk"]
+    assert risk.count() > 0 and risk.where("mean_rr > 1 OR lower_rr > mean_rr OR upper_rr < mean_rr").count() == 0
+
+
+def test_sweet_drinks(spark):
+    rows = [("cola", "Drinks", 10.0), ("water", "Drinks", 0.0), ("juice", "Drinks", None), ("cake", "No", 30.0)]
+    packs = spark.createDataFrame([("juice", 8.0), ("cake", 30.0)], "product_name string, sugar_pack double")
+    got = health.sweet_drinks(spark.createDataFrame(rows, "product_name string, drinks string, sugar double"), packs)
+    assert sorted(r[0] for r in got.collect()) == ["cola", "juice"]
+
+
 def test_incremental_ingest(spark, sf_dir, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = derived(spark, sf_dir, "dirty")
