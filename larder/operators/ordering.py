@@ -94,8 +94,3 @@ def exact_quantiles_by(df: DataFrame, group: str, column: str, probabilities: li
         for i, p in enumerate(probabilities)
     ]
     return picked.select(group, F.explode(F.array(*rows)).alias("q")).select(group, "q.*")
-
-
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
-    """Rows (probability, value) of one column; see :func:`exact_quantiles_by`."""
-    return exact_quantiles_by(df.select(F.lit(0).alias("__all"), column), "__all", column, probabilities).drop("__all")

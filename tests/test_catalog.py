@@ -4,6 +4,7 @@ import pytest
 
 from larder.catalog import CHECKS, QUERIES
 from tests.compare import difference, duck
+from tests.laws import LAWS
 
 # seconds each rather than milliseconds; run them with `python -m tests.compare`
 SLOW = {"cmp01_composition", "cmp10_embedded", "trd08_re_export_converged"}
@@ -21,3 +22,7 @@ def test_query(spark, con, sf_dir, name):
 
 def test_checks_belong_to_queries():
     assert set(CHECKS) <= set(QUERIES)
+
+
+def test_every_query_has_sql_or_a_law():
+    assert set(QUERIES) == set(CHECKS) | set(LAWS)
