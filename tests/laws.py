@@ -52,7 +52,8 @@ def _sums(rows) -> bool:
 
 
 def _hidden(rows) -> bool:
-    return all(r["hidden"] <= r["n"] and (r["mean_error"] is None or r["mean_error"] >= 0) and 0 <= r["converged"] <= 1 for r in rows)
+    """Every trial of a list of n hides k of its places."""
+    return all(2 <= r["k"] <= r["n"] and r["hidden"] % r["k"] == 0 and (r["mean_error"] is None or r["mean_error"] >= 0) and 0 <= r["converged"] <= 1 for r in rows)
 
 
 def _both_databases(rows) -> bool:
