@@ -15,13 +15,14 @@ from larder.llm.common import broadcast_if_small, null_safe, stored
 from larder.llm.spans import matches
 
 # The kinds in order. The patterns match what the plain ones do: possessive repeats can't give anything back
-# that would match, and a run's inside can't match where its start doesn't, unless a match ended there (\G).
+# that would match, and a run's inside can't match where its start doesn't, unless a match ended there (\G). Leading zeros
+# of an address part do give back: a part may be nothing but zeros.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone", "context"]
-_SMALL_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
+_SMALL_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|$)){4}$"
 
 #: A word with a digit or an at sign: what contexts may discover.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"

@@ -171,6 +171,15 @@ def test_pii_base_equals_plain_patterns(spark):
         assert got[i] == brute_pii(t), t and t[:80]
 
 
+def test_pii_addresses_with_zero_parts_equal_plain_patterns(spark):
+    bits = ["0", "00", "000", "0256", "10", "255", "256", "007"]
+    texts = [f"at {a}.{b}.{c}.{d}, then" for a in bits for b in bits for c in bits for d in bits]
+    texts += ["10.0.0.1", "127.0.0.1 and 192.168.0.1", "0.0.0.0", "00.1.2.3", "0.0.0.0.0.0.0.0", "0" * 4_000 + ".0.0.0", "0.0.0." + "0" * 4_000 + "256"]
+    got = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] != "context"] for r in pii.personal_data(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_pii(t), t and t[:80]
+
+
 def test_pii_contexts_discover_what_the_patterns_miss(spark, odd, empty):
     def card(i):
         d = f"4{i:014d}"
