@@ -1,13 +1,12 @@
-"""Near-duplicates by a Chosen-Path set-similarity join.
+"""Near-duplicates by a set-similarity join on minwise tokens.
 
 Each distinct shingle set has ``COORDINATES`` minwise tokens (the least value of its shingles under independent
-permutations). A tree branches its root, and every node that is still large, by chosen coordinates: sets with the same
-token at a chosen coordinate go to the same child. A child is expected to keep a pair of similarity ``s`` with
-probability ``s``, so ``1 / threshold`` children on average keep it once. Nodes of at most ``SMALL`` sets are compared
-exhaustively on their tokens; sets whose estimated similarity is within ``SLACK`` standard errors of the threshold form
-candidate classes, and each class is confirmed on full shingle sets. Independent trees repeat this until the chance that
-all of them miss a pair at the threshold is below ``1 - recall``. A large node descends as many levels in one step as
-its size asks for. Nodes that don't shrink (sets that are alike but not equal) are compared in blocks.
+permutations). The root, and every node that is far too large, branches by coordinates that no other step uses: sets with
+the same token at a coordinate go to the same child. A pair of similarity ``s`` shares each token with probability ``s``,
+so a step of ``k`` coordinates loses it with ``(1 - s) ** k``, whatever the node's size; ``k`` makes all steps together lose
+a pair at the threshold with at most ``1 - recall``. Nodes of at most ``SMALL`` sets are compared exhaustively on their
+tokens, larger ones in pairs of blocks, which loses nothing; sets whose estimated similarity is within ``SLACK`` standard
+errors of the threshold form candidate classes, and each class is confirmed on full shingle sets.
 
 Equal sets count as one from the start, links go on as the spanning tree of their class, never as all pairs.
 """
@@ -33,10 +32,9 @@ COORDINATES = 128
 SMALL, SMALL_SHINGLES = 1_024, 8_000_000
 #: Standard errors of the estimate by which a candidate may fall short of the threshold.
 SLACK = 4.0
-#: Steps in which large nodes are split before they are compared in blocks.
-STEPS = 4
-#: Chance of a tree, at worst, to bring a pair at the threshold to a small node (root kept: 0.87; a further step: over 0.7).
-TREE_KEEPS = 0.6
+#: Nodes of so many times SMALL are compared in blocks at once; larger ones are split first, in STEPS steps at most (a
+#: split of sets that are much alike makes more copies than it saves comparisons).
+BLOCKED, STEPS = 8, 1
 
 _RNG = np.random.default_rng(20_160_417)
 _ODD = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
@@ -89,36 +87,30 @@ def _marks(sketch: str) -> Column:
     return low(sketch)
 
 
-def _branched(sets: DataFrame, step: int, trees: int, threshold: float) -> DataFrame:
-    """Rows (node, key, n, bits) of the children that each row goes to. ``sets``: (key, n, sketch, node, size); the root has size 0."""
+def _paths(threshold: float, recall: float) -> int:
+    """Coordinates of a step, so that all steps together lose a pair at the threshold with at most ``1 - recall``."""
+    lost = (1 - recall) / (STEPS + 1)
+    paths = max(1, math.ceil(math.log(lost) / math.log(max(1 - threshold, 1e-9))))
+    if paths * (STEPS + 1) > COORDINATES:
+        raise ValueError(f"a recall of {recall} at {threshold} takes more than {COORDINATES} coordinates")
+    return paths
+
+
+def _branched(sets: DataFrame, step: int, paths: int) -> DataFrame:
+    """Rows (node, key, n, bits) of the children that each row goes to, one for each coordinate of the step. ``sets``: (key, n, sketch, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             tokens = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
-            nodes, sizes = np.asarray(b.column(2)).astype(np.uint64), np.asarray(b.column(3))
-            made, rows = [], []
-            for tree in range(trees if not step else 1):
-                seed = mixed(nodes + np.uint64(tree * 1_000_003 + step))
-                levels = np.where(sizes > 0, np.ceil(np.log(np.maximum(2 * sizes / SMALL, 1.2)) / -math.log(threshold)), 1).astype(int)
-                paths = (1 / threshold) ** levels
-                paths = np.floor(paths).astype(int) + ((seed >> np.uint64(11)).astype(float) / 2**53 < paths % 1)
-                for path in range(int(paths.max())):
-                    at = np.flatnonzero(paths > path)
-                    child = mixed(seed[at] + np.uint64(path + 1))
-                    draw = child.copy()
-                    for level in range(int(levels[at].max())):
-                        draw = mixed(draw + np.uint64(level))
-                        on = levels[at] > level
-                        token = tokens[at, (draw % np.uint64(COORDINATES)).astype(int)]
-                        child = np.where(on, mixed(child ^ mixed(token + (draw << np.uint64(32)))), child)
-                    made.append(child.astype(np.int64))
-                    rows.append(at)
-            at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), b.column(0).take(at), b.column(4).take(at), pa.array(_bits(tokens)).take(at)], ["node", "key", "n", "bits"])
-
-    return sets.select("key", "sketch", "node", "size", "n").mapInArrow(run, "node long, key binary, n long, bits long")
+            nodes = np.asarray(b.column(2)).astype(np.uint64)
+            bits = pa.array(_bits(tokens))
+            for at in range(step * paths, (step + 1) * paths):
+                child = mixed(nodes ^ mixed(tokens[:, at] + (np.uint64(at + 1) << np.uint64(32))))
+                yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), b.column(0), b.column(3), bits], ["node", "key", "n", "bits"])
+
+    return sets.select("key", "sketch", "node", "n").mapInArrow(run, "node long, key binary, n long, bits long")
 
 
 def _classes(groups: DataFrame, threshold: float) -> DataFrame:
@@ -234,31 +226,34 @@ def _in_blocks(stubborn: DataFrame) -> DataFrame:
 def _linked(signs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, recall: float) -> DataFrame:
     """Links (a, b) between keys of ``signs`` that span all connected parts."""
     threshold = percent / 100
-    trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - TREE_KEEPS)))
+    paths = _paths(threshold, recall)
     distinct = signs.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "n", "sketch")).alias("x"))
     distinct = stored(distinct.select("key", "x.id", "x.n", "x.sketch"), "sets")
     marks = distinct.select("key", _marks("sketch").alias("marks"))
-    parents = distinct.select("key", "n", "sketch", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("size"))
+    parents = distinct.select("key", "n", "sketch", F.lit(0).cast("long").alias("node"))
     classes: DataFrame | None = None
     for step in range(STEPS + 1):
-        rows = stored(_branched(parents, step, trees, threshold), "nodes")
+        rows = stored(_branched(parents, step, paths), "nodes")
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), *_seen())
         nodes = stored(nodes.where("size > 1").where(f"size > 2 or (least >= {threshold} * most and bit_count(differ) <= {_most_bits(threshold)})"), "sizes")
         is_large = f"size > {SMALL} or (size > 2 and shingles > {SMALL_SHINGLES})"
         small = nodes.where(f"not ({is_large})").groupBy("size", "same").agg(F.min("node").alias("node"))  # nodes of the same sets count once
         found = _classes(rows.drop("bits").join(small.select("node"), "node").join(marks, "key").withColumnRenamed("node", "grp"), threshold)
         classes = found if classes is None else classes.union(found)
-        large = nodes.where(is_large).select("node", "size", "shingles")
+        large = nodes.where(is_large).groupBy("size", "same").agg(F.min("node").alias("node"), F.max("shingles").alias("shingles")).drop("same")
         if large.isEmpty():
             break
-        left = rows.join(large, "node")
-        if step == STEPS:
-            classes = classes.union(_classes(_in_blocks(left.join(marks, "key")), threshold))
-        parents = left.join(distinct.select("key", "sketch"), "key")
+        huge = large.where(f"size > {BLOCKED * SMALL} or shingles > {BLOCKED * SMALL_SHINGLES}")
+        last = step == STEPS or huge.isEmpty()
+        blocked = large if last else large.where(f"size <= {BLOCKED * SMALL} and shingles <= {BLOCKED * SMALL_SHINGLES}")
+        classes = classes.union(_classes(_in_blocks(rows.drop("bits").join(blocked, "node").join(marks, "key")), threshold))
+        if last:
+            break
+        parents = rows.drop("bits").join(huge.select("node"), "node").join(distinct.select("key", "sketch"), "key")
     classes = stored(classes.distinct(), "classes")
     needed = stored(classes.join(distinct.select("key", "id"), "key"), "needed")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # a set is in few classes, one for each tree that finds it at most
+    # a set is in few classes, one for each node that finds it at most
     by_id = needed.where("id is not null").groupBy("id").agg(F.collect_list(F.struct("key", "class")).alias("of"))
     named = texts.join(broadcast_if_small(by_id), "id").select("text", "of")
     full = named.mapInArrow(_full_sets(width), "class binary, key binary, shingles binary")

@@ -98,6 +98,17 @@ def test_large_nodes_descend_and_meet_in_blocks(spark, monkeypatch, steps):
     assert {r["id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
 
 
+def test_pairs_at_the_threshold_are_found_in_a_large_family(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 128)  # nodes of 1,500 sets are huge
+    common, rows = [f"c{j}" for j in range(86)], []
+    for i in range(1_000):  # similarity 0.75 between pairs, 0.852 within
+        own = [*common, *(f"o{i}x{j}" for j in range(14))]
+        rows += [(2 * i, " ".join(own), "s"), (2 * i + 1, " ".join([*own[:-8], *(f"p{i}x{j}" for j in range(8))]), "s")]
+    got = {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), width=1, percent=85).collect()}
+    assert set(got.values()) <= set(range(0, 2_000, 2)) | {2 * i + 1 for i in range(1_000)}
+    assert sum(got[2 * i + 1] != 2 * i for i in range(1_000)) <= 2
+
+
 def test_near_duplicates_odd_cases(odd, empty):
     docs, rows = odd
     got = [tuple(r) for r in near_dedup.near_duplicates(docs).collect()]
