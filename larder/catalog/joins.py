@@ -214,7 +214,7 @@ def set07(spark, d):
 )
 def set08(spark, d):
     lists = derived(spark, d, "ing").groupBy("id").agg(F.count("*").cast("int").alias("n"))
-    combos = li.hidden_positions(spark).join(lists, "n")
+    combos = li.hidden_positions(spark, lists.agg(F.max("n")).first()[0] or 2).join(lists, "n")
     return combos.groupBy("id", "n", "k").agg(F.count("*").alias("combos"), F.sum(F.size("hidden")).alias("hidden"))
 
 

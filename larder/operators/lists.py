@@ -1,12 +1,15 @@
-"""Operations along one product's ordered ingredient list (at most 50 places per product)."""
+"""Operations along one product's ordered ingredient list."""
 
 from __future__ import annotations
 
+import math
+import random
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.ordering import shuffle_key
-
 
 def neighbour_bounds(df: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:
     """``min_before`` and ``max_after``: the known values a place must fit between."""
@@ -40,25 +43,41 @@ def commas_before(text: Column, part: str) -> Column:
     return F.regexp_count(F.substring_index(text, part, 1), F.lit(",")) + 1
 
 
-def hidden_positions(spark, max_items: int = 50, at_most: int = 100, seed: int = 19, enumerated: int = 14) -> DataFrame:
-    """Which places to hide, per list length n and number hidden k >= 2: ``(n, k, combo, hidden)``.
+def _choices(n: int, k: int, at_most: int, seed: int) -> list[list[int]]:
+    """``min(at_most, C(n, k))`` distinct choices of k of n places (from 1), by seeded distinct combination numbers."""
+    total, rng = math.comb(n, k), random.Random(f"{seed}|{n}|{k}")
+    numbers = range(total) if total <= at_most else set()
+    while len(numbers) < min(at_most, total):
+        numbers.add(rng.randrange(total))
+    out = []
+    for number in sorted(numbers):
+        places, left = [], k
+        for place in range(1, n + 1):
+            if not left:
+                break
+            with_it = math.comb(n - place, left - 1)
+            if number < with_it:
+                places.append(place)
+                left -= 1
+            else:
+                number -= with_it
+        out.append(places)
+    return out
+
+
+def hidden_positions(spark, max_items: int = 50, at_most: int = 100, seed: int = 19) -> DataFrame:
+    """Which places to hide, per list length n up to ``max_items`` and number hidden k >= 2: ``(n, k, combo, hidden)``.
 
-    All combinations when there are at most ``at_most``, else a seeded choice of that many.  Lengths up to
-    ``enumerated`` are listed in full before choosing; for longer lists, of which there are few, ``at_most``
-    random choices are made.  The table depends on the list lengths only.
+    All combinations when there are at most ``at_most``, else a seeded choice of that many distinct ones.  The table
+    depends on the list lengths only.
     """
-    top = min(max_items, enumerated)
-    masks = spark.range(1, 1 << top).withColumnRenamed("id", "mask")
-    sized = masks.withColumn("n", F.explode(F.sequence(F.lit(2), F.lit(top)))).where("mask < shiftleft(1L, n)")
-    sized = sized.withColumn("k", F.bit_count("mask").cast("int")).where("k >= 2")
-    w = Window.partitionBy("n", "k").orderBy(shuffle_key(["n", "mask"], seed), "mask")
-    picked = sized.withColumn("combo", F.row_number().over(w)).where(F.col("combo") <= at_most)
-    places = F.expr("filter(sequence(1, n), p -> (shiftright(mask, p - 1) & 1) = 1)")
-    out = picked.select("n", "k", "combo", places.alias("hidden"))
-    if max_items > top:
-        tries = spark.range(1, at_most + 1).select(F.col("id").cast("int").alias("combo"), F.explode(F.sequence(F.lit(top + 1), F.lit(max_items))).alias("n"))
-        tries = tries.withColumn("k", F.explode(F.sequence(F.lit(2), F.col("n"))))
-        shuffled = F.array_sort(F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.struct(F.xxhash64(F.lit(seed), "n", "k", "combo", p).alias("h"), p.alias("p"))))
-        hidden = F.array_sort(F.transform(F.slice(shuffled, 1, F.col("k")), lambda x: x["p"]))
-        out = out.unionByName(tries.withColumn("hidden", hidden).dropDuplicates(["n", "k", "hidden"]).select("n", "k", "combo", "hidden"))
-    return out
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n in b["id"]:
+                for k in range(2, n + 1):
+                    hidden = _choices(int(n), k, at_most, seed)
+                    yield pd.DataFrame({"n": n, "k": k, "combo": range(1, len(hidden) + 1), "hidden": hidden})
+
+    lengths = spark.range(2, max_items + 1).repartition(max(1, min(64, max_items - 1)), "id")
+    return lengths.mapInPandas(listed, "n int, k int, combo int, hidden array<int>")

@@ -1,10 +1,12 @@
 """Nothing is cut: long lists, fractional weights, resumed writes, series that don't settle."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from larder.functions.nested import parse_list
-from larder.operators import montecarlo, reexport, solver
+from larder.operators import lists, montecarlo, reexport, solver
 from larder.sources import sinks
 
 
@@ -46,3 +48,22 @@ def test_a_series_that_does_not_settle_is_an_error(spark):
     edges = spark.createDataFrame([("x", "a", "b", 90.0), ("x", "b", "c", 150.0), ("x", "c", "a", 200.0)], "item string, exporter string, importer string, qty double")
     with pytest.raises(RuntimeError):
         reexport.re_export(production, edges, ["item"], max_rounds=5)
+
+
+def test_every_list_length_gets_all_its_choices(spark):
+    rows = [r for r in lists.hidden_positions(spark, 60).where("n in (5, 14, 15, 20, 60)").collect()]
+    for n in (5, 14, 15, 20, 60):
+        for k in range(2, n + 1):
+            own = [tuple(r["hidden"]) for r in rows if (r["n"], r["k"]) == (n, k)]
+            assert len(own) == len(set(own)) == min(100, math.comb(n, k))
+            assert all(list(h) == sorted(set(h)) and len(h) == k and 1 <= h[0] and h[-1] <= n for h in own)
+    again = lists.hidden_positions(spark, 60).where("n = 60").collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in rows if r["n"] == 60)
+
+
+def test_combinations_of_a_list_of_60_places(spark, monkeypatch):
+    from larder.catalog import joins
+
+    monkeypatch.setattr(joins, "derived", lambda *_: spark.range(60).select(F.lit(1).alias("id")))
+    got = {r["k"]: (r["n"], r["combos"], r["hidden"]) for r in joins.set08(spark, "").collect()}
+    assert got == {k: (60, min(100, math.comb(60, k)), min(100, math.comb(60, k)) * k) for k in range(2, 61)}
