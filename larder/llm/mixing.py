@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from larder.llm.common import broadcast_if_small, null_safe, stored
 
@@ -55,7 +56,8 @@ def mixed(
 
     ``weights`` (source, weight) gives target shares up to a factor; sources that it doesn't name get none. Without it a
     source weighs its number of rows to the power ``temperature``. ``rows``: expected rows of the mix, by default those
-    of ``docs``. Null is a source of its own. Rows that repeat an id share its draw; rows without id draw as one id.
+    of ``docs``. Null is a source of its own. Rows that repeat an id share its draw; rows without id draw by a hash of their
+    other columns, so equal ones share a draw.
     Input columns named ``rate``, ``copy`` or ``shuffle_key`` are replaced. An empty table stays empty.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("rate", "copy", "shuffle_key")])
@@ -63,7 +65,10 @@ def mixed(
     pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE_MEAN)).cast("int")
     by_source = stored(by_source.withColumn("__pieces", pieces).withColumn("__table", cumulative(F.col("rate") / F.col("__pieces"))), "rates")
     by_source = broadcast_if_small(by_source, 20_000)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    others = [F.col(c).cast("string") if not isinstance(docs.schema[c].dataType, (ArrayType, MapType, StructType)) else F.to_json(F.struct(c)) for c in docs.columns if c != id_col]
+    # each part with its length, so that texts that run on into the next column differ
+    whole = F.concat_ws("|", *[F.concat_ws(":", F.coalesce(F.length(c), F.lit(-1)).cast("string"), c) for c in others])
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.md5(whole)))
 
     def drawn(j: Column) -> Column:
         u = uniform(F.lit(str(seed)), key, j.cast("string"))

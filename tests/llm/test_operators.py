@@ -149,6 +149,14 @@ def test_mixing_counts_follow_the_poisson_law(spark):
         assert abs(n.mean() - mean) < 0.1 * mean + 0.05 and abs(n.var() - mean) < 0.15 * mean
 
 
+def test_mixing_draws_rows_without_id_one_by_one(spark):
+    docs = frame(spark, [(None, f"t{i}", "s") for i in range(3000)])
+    out = mixing.mixed(docs, rows=1500)
+    n = {r["text"]: r["count"] for r in out.groupBy("text").count().collect()}
+    assert abs(sum(n.values()) - 1500) < 200 and 900 < len(n) < 1400
+    assert out.select("shuffle_key").distinct().count() == sum(n.values())
+
+
 def test_mixing_odd_cases(odd, empty):
     docs, rows = odd
     out = mixing.mixed(docs, rows=200)
