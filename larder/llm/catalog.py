@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, exact_dedup, licenses, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding
+from larder.llm import bpe, conversations, exact_dedup, licenses, merkle, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -153,3 +153,87 @@ def license_query(spark, sf_dir: str) -> DataFrame:
     found = licenses.licenses(table(spark, sf_dir, "documents"))
     listed = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select(F.col("id").alias("doc_id"), F.size("licenses").cast("long").alias("n_licenses"), listed.alias("licenses"))
+
+
+#: CRC-32 in DuckDB: a table by rule, and a fold over the characters (ASCII) of ``%s``.
+_CRC_TABLE = "(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) t FROM (SELECT range i FROM range(256)))"
+
+
+def crc_sql(text: str, table: str = "crc.t") -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce([4294967295] || {codes}, lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || {value} END"
+
+
+_MERKLE = f"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+docs AS (SELECT doc_id, coalesce('=' || lang, '') tree, sha256({' || '.join(_field(c) for c in merkle.FIELDS)}) leaf,
+  CASE WHEN {crc_sql('doc_id::VARCHAR')} % 7 = 0 THEN sha256({' || '.join(_field('n_chars + 1' if c == 'n_chars' else c) for c in merkle.FIELDS)}) END other FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 i, count(*) OVER (PARTITION BY tree) n FROM docs),
+low(tree, l, i, d, n) AS (SELECT tree, 0, i, leaf, n FROM leaves UNION ALL SELECT tree, l + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY tree, l, i // 2, n),
+trees AS (SELECT tree, d subroot, row_number() OVER (ORDER BY tree) - 1 i, count(*) OVER () n FROM low WHERE n = 1),
+high(l, i, d, n) AS (SELECT 0, i, subroot, n FROM trees UNION ALL SELECT l + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY l, i // 2, n),
+steps AS (SELECT tree, 0 upper, l, i, CASE WHEN i % 2 = 0 THEN '*' || coalesce(s, '') ELSE s || '*' END run FROM (SELECT a.tree, a.l, a.i, a.n, b.d s FROM low a LEFT JOIN low b ON a.tree = b.tree AND a.l = b.l AND b.i = xor(a.i, 1)) WHERE n > 1
+  UNION ALL SELECT NULL, 1, l, i, CASE WHEN i % 2 = 0 THEN '*' || coalesce(s, '') ELSE s || '*' END FROM (SELECT a.l, a.i, a.n, b.d s FROM high a LEFT JOIN high b ON a.l = b.l AND b.i = xor(a.i, 1)) WHERE n > 1),
+ways AS (SELECT doc_id, leaf, other, x.tree, subroot, list(run ORDER BY upper, l) FILTER (run IS NOT NULL) runs FROM leaves x JOIN trees USING (tree)
+  LEFT JOIN steps s ON (s.upper = 0 AND s.tree = x.tree AND s.i = x.i >> s.l) OR (s.upper = 1 AND s.i = trees.i >> s.l) GROUP BY ALL),
+told AS (SELECT doc_id, leaf, subroot, (SELECT d FROM high WHERE n = 1) root, sha256(replace(array_to_string(coalesce(runs, []), ''), '*', '')) proof_sha256,
+  list_reduce([coalesce(other, leaf)] || coalesce(runs, []), lambda node, run: sha256(replace(run, '*', node))) folded_root FROM ways)
+SELECT *, folded_root = root verified FROM told
+"""
+
+
+@query("op11_merkle_manifest", _MERKLE)
+def merkle_query(spark, sf_dir: str) -> DataFrame:
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    seen = merkle.audited(table(spark, sf_dir, "documents"), altered, {"n_chars": F.col("n_chars") + 1})
+    return seen.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _repair_sql() -> str:
+    """A backward recursion over whole (cost, letters, lines) of each state, without checkpoints."""
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    who = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+    edit = lambda cost, letter, line, then: f"{{'c': {cost} + {then}.c, 'a': '{letter}' || {then}.a, 't': {line} || {then}.t}}"
+    least = lambda *ways: f"list_sort([{', '.join(ways)}])[1]"
+    kept = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+    row = []
+    for s in range(4):
+        ways = [edit(2, "D", "''", f"v.s{s}")]
+        never = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+        ways.append(f"CASE WHEN must THEN {never} ELSE {edit('1 + extra', 'R', f'chr(10) || {chr(39)}{who[s]}:{chr(39)} || text', f'v.s{after[s]}')} END")
+        for initial, moves in kept.items():
+            if s in moves:
+                ways.append(f"CASE WHEN must OR initial <> '{initial}' THEN {never} ELSE {edit('extra', 'K', 'chr(10) || role || chr(58) || text', f'v.s{moves[s]}')} END")
+        row.append(f"{least(*ways)} u{s}")
+    put = lambda s, then: edit(5, "I", f"chr(10) || '{who[s]}:'", then)
+    return f"""
+WITH RECURSIVE crc AS {_CRC_TABLE},
+named AS (SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 fault FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END role, CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END text,
+  unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) copy FROM named WHERE fault > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) i FROM damaged),
+judged AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 again,
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') cut, left(role, 1) initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) past FROM placed),
+r AS (SELECT *, blank OR again must, CASE WHEN cut THEN 5 ELSE 0 END extra FROM judged),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (blank) blank, count(*) FILTER (again AND NOT blank) duplicate,
+  count(*) FILTER (cut AND NOT must) truncated, count(*) FILTER (past IS NOT NULL AND past || initial NOT IN ('su', 'ua', 'au')) illegal, max(i) n FROM r GROUP BY conv_id),
+v(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, n + 1, {{'c': 0::BIGINT, 'a': '', 't': ''}}, {{'c': 10::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}, {{'c': 5::BIGINT, 'a': 'I', 't': chr(10) || 'assistant:'}}, {{'c': 0::BIGINT, 'a': '', 't': ''}} FROM counts
+  UNION ALL
+  SELECT conv_id, i, {least('u0', put(0, 'w'))}, {least('u1', put(1, 'w'))}, w, {least('u3', put(3, 'u2'))} FROM (
+    SELECT *, {least('u2', put(2, 'u3'))} w FROM (
+      SELECT v.conv_id, r.i, {', '.join(row)} FROM v JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i - 1)))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT gaps, coalesce(blank, 0)::BIGINT blank, coalesce(duplicate, 0)::BIGINT duplicate, coalesce(truncated, 0)::BIGINT truncated, coalesce(illegal, 0)::BIGINT illegal,
+  coalesce(s0.c, 0)::BIGINT AS cost, coalesce(s0.a, '') audit, sha256(coalesce(substr(s0.t, 2), '')) repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM o.conv_id AND v.i = 1
+"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def repair_query(spark, sf_dir: str) -> DataFrame:
+    rows, copies = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repaired(rows, copies=copies)
