@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, conversations, exact_dedup, licenses, merkle, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding
+from larder.llm import bpe, conversations, exact_dedup, jaccard_join, licenses, merkle, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -33,22 +33,23 @@ shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN le
   ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) s FROM words),
 """
 
-_NEAR = _SETS + """
+def _linked_sql(percent: int, more: str = "") -> str:
+    return _SETS + f"""
 sizes AS (SELECT doc_id, count(*) n FROM shingles GROUP BY doc_id),
 sets AS (SELECT doc_id, n, md5(string_agg(s, chr(10) ORDER BY s)) k FROM shingles JOIN sizes USING (doc_id) GROUP BY doc_id, n),
 reps AS (SELECT k, min(doc_id) doc_id, any_value(n) n FROM sets GROUP BY k),
 own AS (SELECT doc_id, s FROM shingles JOIN reps USING (doc_id)),
 met AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM own a JOIN own b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM met JOIN reps x ON x.doc_id = a JOIN reps y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM met JOIN reps x ON x.doc_id = a JOIN reps y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached(a, b) AS (SELECT doc_id, doc_id FROM reps UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON r.b = l.a),
 roots AS (SELECT a, min(b) root FROM reached GROUP BY a)
-SELECT d.doc_id, coalesce(z.n, 0)::BIGINT n_shingles, coalesce(root, d.doc_id) component_id, coalesce(root, d.doc_id) = d.doc_id kept
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT n_shingles, coalesce(root, d.doc_id) component_id{more}
 FROM documents d LEFT JOIN sets z ON z.doc_id = d.doc_id LEFT JOIN reps p ON p.k = z.k LEFT JOIN roots o ON o.a = p.doc_id
 """
 
 
-@query("op1_near_dedup", _NEAR)
+@query("op1_near_dedup", _linked_sql(85, ", coalesce(root, d.doc_id) = d.doc_id kept"))
 def near_dedup_query(spark, sf_dir: str) -> DataFrame:
     out = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
     return out.withColumnRenamed("id", "doc_id")
@@ -217,7 +218,7 @@ damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END
   unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) copy FROM named WHERE fault > 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) i FROM damaged),
 judged AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 again,
-  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') cut, left(role, 1) initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) past FROM placed),
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') cut, left(role, 1) initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) past FROM placed),
 r AS (SELECT *, blank OR again must, CASE WHEN cut THEN 5 ELSE 0 END extra FROM judged),
 counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (blank) blank, count(*) FILTER (again AND NOT blank) duplicate,
   count(*) FILTER (cut AND NOT must) truncated, count(*) FILTER (past IS NOT NULL AND past || initial NOT IN ('su', 'ua', 'au')) illegal, max(i) n FROM r GROUP BY conv_id),
@@ -237,3 +238,8 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.c
 def repair_query(spark, sf_dir: str) -> DataFrame:
     rows, copies = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.repaired(rows, copies=copies)
+
+
+@query("op12_jaccard_join", _linked_sql(90))
+def jaccard_join_query(spark, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"), width=3, percent=90).withColumnRenamed("id", "doc_id")
