@@ -40,7 +40,11 @@ def rates(docs: DataFrame, weights: DataFrame | None, source_col: str, rows: int
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
-        given = weights.select(F.col("source").alias("__source"), F.col("weight").cast("double").alias("weight"))
+        given = stored(weights.groupBy(F.col("source").alias("__source")).agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"), F.min(F.col("weight").cast("double")).alias("least")), "given")
+        wrong = given.where("weight >= double('infinity') OR isnan(weight) OR least < 0").limit(1).collect()
+        if wrong:
+            raise ValueError(f"weights are finite numbers of 0 or more; source {wrong[0]['__source']!r} has others")
+        given = given.drop("least")
         weighed = sizes.join(given, null_safe(sizes, given, {"source": "__source"}), "left").drop("__source").fillna(0.0, ["weight"])
     weighed = stored(weighed, "weights")
     whole = weighed.agg(F.sum("weight"), F.sum("n")).first()
@@ -54,7 +58,8 @@ def mixed(
 ) -> DataFrame:
     """Copies of the rows of ``docs`` in shuffled order, with ``rate``, ``copy`` (from 0) and ``shuffle_key``.
 
-    ``weights`` (source, weight) gives target shares up to a factor; sources that it doesn't name get none. Without it a
+    ``weights`` (source, weight) gives target shares up to a factor; sources that it doesn't name get none, a source named
+    several times gets the sum, null weighs nothing, and negative, infinite and NaN weights are refused. Without it a
     source weighs its number of rows to the power ``temperature``. ``rows``: expected rows of the mix, by default those
     of ``docs``. Null is a source of its own. Rows that repeat an id share its draw; rows without id draw by a hash of their
     other columns, so equal ones share a draw.

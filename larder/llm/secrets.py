@@ -1,9 +1,10 @@
 """Secrets: fixed patterns, and strings near sensitive words that a primed zstandard compressor finds new.
 
-The novelty of a candidate is the number of compressed bytes that it adds to the text before it, under a dictionary of
-common identifiers and code: ``size(before + candidate) - size(before)``. Words, paths and identifiers cost little; random
-keys cost nearly their entropy. Candidates stand within reach of a sensitive word and are reported when each of their
-characters costs at least ``NOVEL`` bytes.
+The novelty of a candidate is the number of compressed bytes that it adds to the text around it, under a dictionary of
+common identifiers and code: ``size(before + candidate + after) - size(before + after)``. Words, paths and identifiers cost
+little; random keys cost nearly their entropy. Every run of key characters within reach of a sensitive word, on either side, is
+measured, whatever it is made of, and reported when it costs ``NOVEL`` bytes a character and ``EXTRA`` more, which breaking a
+match costs by itself. Copies of the candidate around it are left out of its context, so a key that is told twice is new both times.
 """
 
 from __future__ import annotations
@@ -24,12 +25,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # as [0-9a-f]+ of 32 characters or more: a r
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ["assign", "access", "hex", "novel"]
 
-#: Words that make the text after them sensitive.
-SENSITIVE = ["password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "client_key", "credential", "bearer", "authorization", "auth_key", "signature", "webhook", "connection_string"]
-#: Characters after a sensitive word in which candidates start, and before a candidate that it is measured against.
-REACH, BEFORE = 64, 512
-#: Least length of a candidate, and compressed bytes that each of its characters must add.
-CANDIDATE, NOVEL = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), 0.62
+#: Words that make the text around them sensitive; parts of a word may stand together or with a blank, ``_`` or ``-`` between.
+SENSITIVE = [
+    "password", "passwd", "passphrase", "passcode", "secret", "token", "credential", "bearer", "authorization", "authorisation", "signature", "webhook", "api key", "access key", "private key", "client key",
+    "auth key", "signing key", "encryption key", "master key", "ssh key", "connection string",
+]
+#: Characters on either side of a sensitive word within which candidates start or end, and around a candidate that it is measured against.
+REACH, AROUND = 128, 512
+#: Characters of candidates, and their least number once other than letters and digits is cut off their ends.
+CANDIDATE, SHORTEST = re.compile(r"[!#$%&*+./0-9=?A-Z\\^_a-z|~-]{8,}"), 8
+#: Compressed bytes that each character of a candidate must add, and those that come on top.
+NOVEL, EXTRA = 0.55, 4.0
 
 #: Identifiers and code that candidates are expected to be made of; callers may pass their own.
 IDENTIFIERS = """
@@ -42,7 +48,8 @@ client_secret client_id secret_key secret_name secret_manager api_key api_keys a
 os.environ.get process.env.SECRET_KEY System.getenv config.get settings.SECRET getenv environment variable parameter
 username user_name user_id account_id email address database connection string host port localhost 127.0.0.1 http https
 www.example.com/index.html /usr/local/bin /etc/config /home/user/.ssh/id_rsa documentation description authentication
-authorization credentials configuration application information international organization responsibility
+passphrase passcode password_file credential webhook_url signature bearer authorisation signing_key encryption_key master_key ssh_key
+connection_string access_key auth_key client_key authorization credentials configuration application information international organization responsibility
 """.strip()
 
 
@@ -52,11 +59,11 @@ def _compressor(identifiers: str) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False)
 
 
-def novelty(before: str, candidate: str, identifiers: str = IDENTIFIERS) -> float:
-    """Compressed bytes that ``candidate`` adds after ``before``, for each of its characters."""
+def novelty(before: str, candidate: str, after: str = "", identifiers: str = IDENTIFIERS) -> float:
+    """Compressed bytes that ``candidate`` adds between ``before`` and ``after``, less those that any insertion adds, for each of its characters."""
     zip_ = _compressor(identifiers)
-    context = before.encode("utf-8", "surrogatepass")
-    return (len(zip_.compress(context + candidate.encode())) - len(zip_.compress(context))) / len(candidate)
+    left, right = (x.replace(candidate, " ").encode("utf-8", "surrogatepass") for x in (before, after))
+    return (len(zip_.compress(left + candidate.encode() + right)) - len(zip_.compress(left + right)) - EXTRA) / len(candidate)
 
 
 def base_spans(text: str, lowered: str) -> list[tuple[str, int, int]]:
@@ -70,22 +77,40 @@ def base_spans(text: str, lowered: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def sensitive_words(words: list[str] = SENSITIVE) -> re.Pattern:
+    return re.compile("|".join("[ _-]?".join(map(re.escape, w.split(" "))) for w in sorted(words, key=len, reverse=True)))
+
+
+def _core(text: str, start: int, end: int) -> tuple[int, int]:
+    """Ends of a candidate without punctuation; padding of ``=`` stays."""
+    while start < end and not text[start].isalnum():
+        start += 1
+    while end > start and not (text[end - 1].isalnum() or text[end - 1] == "="):
+        end -= 1
+    return start, end
+
+
 def novel_spans(text: str, lowered: str, base: list[tuple[str, int, int]], sensitive: re.Pattern, identifiers: str, least: float) -> list[tuple[str, int, int]]:
     """Novel strings near sensitive words that no base span overlaps, left to right."""
     taken = sorted((a, z) for _, a, z in base)
     out, done, before = [], 0, 0
     for word in sensitive.finditer(lowered):
-        at = max(word.end(), done)
+        # a candidate that ends in reach may start before it
+        at = max(done, word.start() - REACH)
+        if at < len(text) and CANDIDATE.match(text[at] * 8):
+            while at > done and CANDIDATE.match(text[at - 1] * 8):
+                at -= 1
         while (m := CANDIDATE.search(text, at)) and m.start() <= word.end() + REACH:
             at = done = m.end()
-            while before < len(taken) and taken[before][1] <= m.start():
-                before += 1
-            if before < len(taken) and taken[before][0] < m.end():
+            start, end = _core(text, m.start(), m.end())
+            if end - start < SHORTEST:
                 continue
-            if not re.search(r"[0-9]", m[0]) or not re.search(r"[A-Za-z]", m[0]):
+            while before < len(taken) and taken[before][1] <= start:
+                before += 1
+            if before < len(taken) and taken[before][0] < end:
                 continue
-            if novelty(text[max(0, m.start() - BEFORE) : m.start()], m[0], identifiers) >= least:
-                out.append(("novel", m.start(), m.end()))
+            if novelty(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND], identifiers) >= least:
+                out.append(("novel", start, end))
     return out
 
 
@@ -93,12 +118,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ide
     """One row per row of ``docs``: id, spans, an array of (kind, start, end, found) by start, then kind.
 
     Offsets are code points, end exclusive. Kinds ``assign``, ``access`` and ``hex`` are the fixed patterns; ``novel`` are
-    strings that the method adds. A null or empty text has no spans. Repeated rows each come back; other columns are
+    strings of 8 or more characters that the method adds, within 128 characters of a sensitive word on either side. A null or empty text has no spans. Repeated rows each come back; other columns are
     ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sensitive = re.compile("|".join(sorted(map(re.escape, SENSITIVE), key=len, reverse=True)))
+        sensitive = sensitive_words()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("found", pa.string())]))
         for b in batches:
             found = []
