@@ -11,6 +11,7 @@ from larder.operators import health as he
 from larder.operators import impacts as im
 from larder.operators import lca as lc
 from larder.operators import montecarlo as mc
+from larder.operators import simulation as sm
 
 PRODUCT = ["id", "product_name", "retailer", "country", "department", "aisle", "shelf"]
 
@@ -142,16 +143,31 @@ def _draws_sql(reps: int) -> str:
     """
 
 
-@query("mc02_weighted_draws", _draws_sql(4) + "SELECT product, fc AS food_category, s1 AS food_category_sub, s2 AS food_category_sub_sub, organic, rep, obs_id FROM hit")
-def mc02(spark, d):
-    s = mc.sampled(_foods(spark, d), _lca(spark, d), reps=4)
-    return s.select("product", *lc.CATEGORY, "organic", "rep", "obs_id")
+#: Queries at all repetitions have no SQL; tests compare the same functions at a few with these statements.
+AT_FEW: dict[str, tuple] = {}
 
 
-@query("jon13_draw_points", _draws_sql(2) + "SELECT pool, rep, count(*) AS draws, CAST(min(point) AS BIGINT) AS low, CAST(max(point) AS BIGINT) AS high FROM hit GROUP BY 1, 2")
-def jon13(spark, d):
-    s = mc.sampled(_foods(spark, d), _lca(spark, d), reps=2)
-    return s.groupBy("pool", "rep").agg(F.count("*").alias("draws"), F.min("point").alias("low"), F.max("point").alias("high"))
+def _at_all(name: str, sql):
+    """Register ``fn(spark, d, reps)`` at all repetitions, and its SQL at a few."""
+
+    def add(fn):
+        query(name)(lambda spark, d: fn(spark, d, mc.REPETITIONS))
+        AT_FEW[name] = (fn, sql)
+        return fn
+
+    return add
+
+
+@_at_all("mc02_weighted_draws", lambda reps: _draws_sql(reps) + """SELECT product, fc AS food_category, s1 AS food_category_sub, s2 AS food_category_sub_sub, organic, pool, count(*) AS draws, count(DISTINCT obs_id) AS observations,
+  min(obs_id) AS least_obs, max(obs_id) AS greatest_obs, min(point) AS low, max(point) AS high, CAST(sum(rep * obs_id % 1000003) AS BIGINT) AS checksum FROM hit GROUP BY ALL""")
+def mc02(spark, d, reps):
+    return sm.draw_counts(_foods(spark, d), _lca(spark, d), reps)
+
+
+@_at_all("jon13_draw_points", lambda reps: _draws_sql(reps) + "SELECT pool, count(*) AS draws, CAST(min(point) AS BIGINT) AS low, CAST(max(point) AS BIGINT) AS high FROM hit GROUP BY 1")
+def jon13(spark, d, reps):
+    drawn = sm.draw_counts(_foods(spark, d), _lca(spark, d), reps)
+    return drawn.groupBy("pool").agg(F.sum("draws").alias("draws"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 @query(
@@ -168,16 +184,16 @@ def jon12(spark, d):
     return mc.pool_choice(_foods(spark, d), mc.pools(mc.replicated(_lca(spark, d)))).select(*lc.CATEGORY, "organic", "pool")
 
 
-@query("mc03_seafood_halves", _draws_sql(4) + "SELECT product, rep, split_part(pool, '|', 1) AS kind, count(*) AS n FROM hit WHERE fc = 'Fish' GROUP BY 1, 2, 3")
+@query("mc03_seafood_halves", _draws_sql(mc.REPETITIONS) + "SELECT product, split_part(pool, '|', 1) AS kind, CAST(sum(n) AS BIGINT) AS draws FROM (SELECT f.product, ch.pool, hi - lo + 1 AS n FROM foods f JOIN ch ON ch.fc = f.fc AND ch.s1 IS NOT DISTINCT FROM f.s1 AND ch.s2 IS NOT DISTINCT FROM f.s2 AND ch.organic = f.organic WHERE f.fc = 'Fish') GROUP BY 1, 2")
 def mc03(spark, d):
-    s = mc.sampled(_foods(spark, d).where("food_category = 'Fish'"), _lca(spark, d), reps=4)
-    return s.groupBy("product", "rep", F.substring_index("pool", "|", 1).alias("kind")).agg(F.count("*").alias("n"))
+    drawn = sm.draw_counts(_foods(spark, d).where("food_category = 'Fish'"), _lca(spark, d))
+    return drawn.groupBy("product", F.substring_index("pool", "|", 1).alias("kind")).agg(F.sum("draws").alias("draws"))
 
 
-@query("mc04_organic_pools", _draws_sql(2) + "SELECT product, count(*) AS n FROM hit WHERE pool LIKE 'organic|%' GROUP BY 1")
+@query("mc04_organic_pools", _draws_sql(mc.REPETITIONS) + "SELECT product, CAST(sum(hi - lo + 1) AS BIGINT) AS n FROM foods f JOIN ch ON ch.fc = f.fc AND ch.s1 IS NOT DISTINCT FROM f.s1 AND ch.s2 IS NOT DISTINCT FROM f.s2 AND ch.organic = f.organic WHERE ch.pool LIKE 'organic|%' GROUP BY 1")
 def mc04(spark, d):
-    s = mc.sampled(_foods(spark, d).where("organic = 'Organic'"), _lca(spark, d), reps=2)
-    return s.where("pool LIKE 'organic|%'").groupBy("product").agg(F.count("*").alias("n"))
+    drawn = sm.draw_counts(_foods(spark, d).where("organic = 'Organic'"), _lca(spark, d))
+    return drawn.where("pool LIKE 'organic|%'").groupBy("product").agg(F.sum("draws").alias("n"))
 
 
 def _brewed(spark, d):
@@ -188,13 +204,9 @@ _AMOUNT = "amount / 100 * CASE WHEN fc = 'LARGE' AND product % 3 = 0 THEN 0.06 W
 _TOTALS = ", tot AS (SELECT product, rep, " + ", ".join(f"sum({i} * {_AMOUNT}) AS {i}" for i in lc.INDICATORS) + " FROM hit GROUP BY 1, 2)"
 
 
-def _totals(spark, d, reps):
-    return mc.totals_per_product(mc.ingredient_impacts(mc.sampled(_brewed(spark, d), _lca(spark, d), reps=reps)))
-
-
-@query("mc05_product_totals", _draws_sql(4) + _TOTALS + "SELECT product, rep, " + ", ".join(f"{rounded_sql(i, 6)} AS {i}" for i in lc.INDICATORS) + " FROM tot")
-def mc05(spark, d):
-    return _totals(spark, d, 4).select("product", "rep", *[rounded(i, 6) for i in lc.INDICATORS])
+def _rank_sql(reps: int, by: str, columns) -> str:
+    picks = ", ".join(f"{rounded_sql(f'max(CASE WHEN k = {max(1, round(reps * q))} THEN {i} END)', 6)} AS {n}_{i}" for n, q in mc.RANKS.items() for i in columns)
+    return f", rk AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY round({by}, 9), rep) AS k FROM sc) SELECT product, {picks} FROM rk GROUP BY 1"
 
 
 _SCORED = """, wm AS (SELECT fc, sum(ghg * weight) / sum(weight) AS ghg, sum(eut * weight) / sum(weight) AS eut, sum(watscar * weight) / sum(weight) AS watscar, sum(land * weight) / sum(weight) AS land FROM obs GROUP BY 1)
@@ -202,40 +214,45 @@ _SCORED = """, wm AS (SELECT fc, sum(ghg * weight) / sum(weight) AS ghg, sum(eut
 , sc AS (SELECT tot.*, (tot.ghg / mx.ghg + tot.eut / mx.eut + tot.watscar / mx.watscar + tot.land / mx.land) / 4 AS score FROM tot, mx)"""
 
 
-@query("mc06_composite", _draws_sql(4) + _TOTALS + _SCORED + "SELECT product, rep, round(score, 6) AS score FROM sc")
-def mc06(spark, d):
-    return _r(mc.composite(_totals(spark, d, 4), _lca(spark, d)), ["product", "rep"], "score")
+def _statistics(spark, d, reps):
+    return sm.statistics(_brewed(spark, d), _lca(spark, d), reps=reps)
 
 
-@query(
-    "mc07_statistics",
-    _draws_sql(20) + _TOTALS + f"""SELECT product, {rounded_sql('avg(ghg)', 6)} AS mean_ghg, {rounded_sql('stddev_samp(ghg) / sqrt(20)', 6)} AS se_ghg,
-      {rounded_sql('avg(ghg) - 2.0930240544082634 * stddev_samp(ghg) / sqrt(20)', 5)} AS lower_ci_ghg, {rounded_sql('avg(land)', 6)} AS mean_land FROM tot GROUP BY 1""",
-)
-def mc07(spark, d):
-    s = mc.composite(_totals(spark, d, 20), _lca(spark, d))
-    out = mc.statistics(s, ["product"], 20)
-    return out.select("product", rounded("mean_ghg", 6), rounded("se_ghg", 6), rounded("lower_ci_ghg", 5), rounded("mean_land", 6))
+@_at_all("mc05_product_totals", lambda reps: _draws_sql(reps) + _TOTALS + "SELECT product, CAST(count(*) AS DOUBLE) AS reps, " + ", ".join(f"{rounded_sql(f'{f}({i})', 6)} AS {n}_{i}" for n, f in (("mean", "avg"), ("least", "min"), ("most", "max")) for i in lc.INDICATORS) + " FROM tot GROUP BY 1")
+def mc05(spark, d, reps):
+    return _statistics(spark, d, reps).select("product", "reps", *[rounded(f"{n}_{i}", 6) for n in ("mean", "least", "most") for i in lc.INDICATORS])
 
 
-@query(
-    "win05_rank_rows",
-    _draws_sql(20) + _TOTALS + ", rk AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY round(ghg, 9), rep) AS k FROM tot) SELECT product, " + ", ".join(
-        f"{rounded_sql(f'max(CASE WHEN k = {max(1, round(20 * q))} THEN {i} END)', 6)} AS {n}_{i}" for n, q in mc.RANKS.items() for i in ("ghg", "land")) + " FROM rk GROUP BY 1",
-)
-def win05(spark, d):
-    scored = _totals(spark, d, 20).withColumn("score", F.col("ghg"))
-    out = mc.rank_rows(scored, ["product"], 20, ["ghg", "land"])
-    return out.select("product", *[rounded(f"{n}_{i}", 6) for n in mc.RANKS for i in ("ghg", "land")])
+@_at_all("mc06_composite", lambda reps: _draws_sql(reps) + _TOTALS + _SCORED + "SELECT product, " + ", ".join(f"{rounded_sql(f'{f}(score)', 6)} AS {n}_score" for n, f in (("mean", "avg"), ("least", "min"), ("most", "max"))) + " FROM sc GROUP BY 1")
+def mc06(spark, d, reps):
+    return _statistics(spark, d, reps).select("product", *[rounded(f"{n}_score", 6) for n in ("mean", "least", "most")])
 
 
-@query(
+def _mc07_sql(reps: int) -> str:
+    t = {3: 3.182446305284263, 19: 2.0930240544082634, 39: 2.0226909200367595}[reps - 1]
+    half = lambda i: f"{t} * stddev_samp({i}) / sqrt({reps})"
+    told = ", ".join(f"{rounded_sql(f'avg({i})', 6)} AS mean_{i}, {rounded_sql(f'stddev_samp({i}) / sqrt({reps})', 6)} AS se_{i}, {rounded_sql(f'avg({i}) - {half(i)}', 4)} AS lower_ci_{i}, {rounded_sql(f'avg({i}) + {half(i)}', 4)} AS upper_ci_{i}" for i in lc.INDICATORS)
+    return f"{_draws_sql(reps)}{_TOTALS} SELECT product, {told} FROM tot GROUP BY 1"
+
+
+@_at_all("mc07_statistics", _mc07_sql)
+def mc07(spark, d, reps):
+    made = _statistics(spark, d, reps)
+    return made.select("product", *[rounded(f"{n}_{i}", k) for i in lc.INDICATORS for n, k in (("mean", 6), ("se", 6), ("lower_ci", 4), ("upper_ci", 4))])
+
+
+@_at_all("win05_rank_rows", lambda reps: _draws_sql(reps) + _TOTALS + _SCORED + _rank_sql(reps, "score", lc.INDICATORS))
+def win05(spark, d, reps):
+    return _statistics(spark, d, reps).select("product", *[rounded(f"{n}_{i}", 6) for n in mc.RANKS for i in lc.INDICATORS])
+
+
+@_at_all(
     "mc08_contributions",
-    _draws_sql(4) + f", p AS (SELECT product, fc, sum(CAST(ghg * {_AMOUNT} AS DECIMAL(28,12))) AS ghg, sum(CAST(land * {_AMOUNT} AS DECIMAL(28,12))) AS land, sum(CAST(amount AS DECIMAL(28,12))) AS amount FROM hit GROUP BY 1, 2) SELECT product, fc AS food_category, round(ghg::DOUBLE / (sum(ghg) OVER w)::DOUBLE, 6) AS ghg, round(land::DOUBLE / (sum(land) OVER w)::DOUBLE, 6) AS land, round(amount::DOUBLE / (sum(amount) OVER w)::DOUBLE, 6) AS amount FROM p WINDOW w AS (PARTITION BY product)",
+    lambda reps: _draws_sql(reps) + f", p AS (SELECT product, fc, sum(CAST(ghg * {_AMOUNT} AS DECIMAL(28,12))) AS ghg, sum(CAST(land * {_AMOUNT} AS DECIMAL(28,12))) AS land, sum(CAST(amount AS DECIMAL(28,12))) AS amount FROM hit GROUP BY 1, 2) SELECT product, fc AS food_category, {rounded_sql('ghg::DOUBLE / (sum(ghg) OVER w)::DOUBLE', 6)} AS ghg, {rounded_sql('land::DOUBLE / (sum(land) OVER w)::DOUBLE', 6)} AS land, {rounded_sql('amount::DOUBLE / (sum(amount) OVER w)::DOUBLE', 6)} AS amount FROM p WINDOW w AS (PARTITION BY product)",
 )
-def mc08(spark, d):
-    i = mc.ingredient_impacts(mc.sampled(_brewed(spark, d), _lca(spark, d), reps=4))
-    return _r(mc.contributions(i, ["product"], ["ghg", "land"]), ["product", "food_category"], "ghg", "land", "amount")
+def mc08(spark, d, reps):
+    made = sm.contributions(_brewed(spark, d), _lca(spark, d), reps=reps, indicators=["ghg", "land"])
+    return made.select("product", "food_category", *[rounded(c, 6) for c in ("ghg", "land", "amount")])
 
 
 @query("ord04_weighted_sample", "SELECT p_partkey, round(" + uniform_sql(["p_partkey", "p_size"]) + ", 9) AS u FROM part")
@@ -287,7 +304,7 @@ def nut02(spark, d):
     return _r(im.fruit_and_sugar(i, ["id"]), ["id"], "fvno", "sugar")
 
 
-@query("nut03_identified", ctes("ing") + "SELECT id, round(sum(true_percent), 6) AS tot_percent FROM ing WHERE food_category <> 'SMALL' GROUP BY 1 HAVING sum(true_percent) >= 75")
+@query("nut03_identified", ctes("ing") + "SELECT id, round(sum(true_percent), 6) AS tot_percent FROM ing WHERE food_category <> 'SMALL' GROUP BY 1 HAVING round(sum(true_percent), 9) >= 75")
 def nut03(spark, d):
     i = derived(spark, d, "ing").withColumn("percent", F.col("true_percent")).withColumn("food_category", F.when(F.col("food_category") != "SMALL", F.col("food_category")))
     return _r(im.identified(i, ["id"]), ["id"], "tot_percent")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.catalog.registry import query
 from larder.fixtures import derived
+from larder.functions.draws import key_number_sql
 from larder.operators import classify as cl
 from larder.operators import labels as la
 from larder.operators import language as lg
@@ -195,10 +196,16 @@ def cls15(spark, d):
     return scored.select("vec_id", cl.top_class(F.col("scores.score"), names).alias("best"))
 
 
-@query("cls10_text_vectors")
+@query(
+    "cls10_text_vectors",
+    f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s')) AS word FROM documents), n AS (SELECT count(*) AS docs FROM documents),
+      tf AS (SELECT doc_id, {key_number_sql('word')} % 256 AS bucket, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT bucket, count(*) AS df FROM tf GROUP BY 1)
+    SELECT doc_id, CAST(bucket AS INT) AS bucket, round(tf * ln((docs + 1.0) / (df + 1.0)), 9) AS weight FROM tf JOIN df USING (bucket), n WHERE df < docs""",
+)
 def cls10(spark, d):
     out = cl.text_vectors(derived(spark, d, "documents").select("doc_id", "text"), "text", 256)
-    return out.select("doc_id", F.size(vector_to_array("features")).alias("size"))
+    filled = F.transform(vector_to_array("features"), lambda v, i: F.struct(i.cast("int").alias("bucket"), F.round(v, 9).alias("weight")))
+    return out.select("doc_id", F.explode(F.filter(filled, lambda x: x["weight"] != 0)).alias("x")).select("doc_id", "x.*")
 
 
 _WORDS = """WITH w AS (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1, 2),
@@ -212,6 +219,20 @@ def txt29(spark, d):
     return lg.detect_language(t, "text", "doc_id", lg.word_profile(t, "text", "lang")).select("doc_id", "language")
 
 
+_GRAM_SQL = f"""WITH t AS (SELECT doc_id, lang, text, ' ' || lower(text) || ' ' AS x FROM documents), c AS (SELECT doc_id, lang, unicode(x[i]) AS a, unicode(x[i + 1]) AS b, unicode(x[i + 2]) AS c, i, length(x) AS n FROM (SELECT *, unnest(range(1, length(x) + 1)) AS i FROM t)),
+  g AS (SELECT doc_id, lang, unnest(CASE WHEN i + 2 <= n THEN [a, a * {lg.FACTOR} + b, (a * {lg.FACTOR} + b) * {lg.FACTOR}::BIGINT + c] WHEN i + 1 <= n THEN [a, a * {lg.FACTOR} + b] ELSE [a] END) % {lg.BUCKETS} AS bucket FROM c),
+  d AS (SELECT doc_id, lang, bucket, count(*) AS n FROM g GROUP BY ALL), w AS (SELECT lang, bucket, sum(n) AS n FROM d GROUP BY ALL), total AS (SELECT lang, ln(sum(n) + {lg.BUCKETS}) AS whole FROM w GROUP BY 1),
+  s AS (SELECT d.doc_id, l.lang, sum(d.n * (ln(1 + coalesce(w.n, 0)) - l.whole)) AS score FROM d CROSS JOIN total l LEFT JOIN w ON w.lang = l.lang AND w.bucket = d.bucket GROUP BY ALL),
+  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS k FROM s)
+  SELECT t.doc_id, CASE WHEN length(trim(t.text)) > 1 THEN b.lang ELSE 'und' END AS language FROM t LEFT JOIN b ON b.doc_id = t.doc_id AND k = 1"""
+
+
+@query("txt29_language_grams", _GRAM_SQL)
+def txt29_grams(spark, d):
+    t = derived(spark, d, "documents").select("doc_id", "text", "lang")
+    return lg.detect_by_grams(t, "text", lg.gram_model(t, "text", "lang")).select("doc_id", "language")
+
+
 @query(
     "txt30_translated",
     "WITH c AS (SELECT text, min(doc_id) % 4 AS k FROM documents GROUP BY 1) SELECT d.doc_id, CASE c.k WHEN 0 THEN d.text WHEN 1 THEN '' WHEN 2 THEN lower(d.text) ELSE d.text END AS english FROM documents d JOIN c ON c.text = d.text",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.catalog.registry import query
+from larder.catalog.registry import query, rounded, rounded_sql
 from larder.fixtures import ctes, derived
 from larder.operators import reexport as rx
 from larder.operators import sourcing as so
@@ -118,40 +118,41 @@ _KEPT = "least(1.0, coalesce((grown + arrived) / nullif(wanted, 0), 1.0))"
 
 
 def _re_export_sql(limit_rounds: int, rounds: int) -> str:
-    sql = ctes("flow", "production") + """
+    sql = ctes("flow", "production").replace("WITH ", "WITH RECURSIVE ", 1) + """
     , e AS (SELECT item, yr, exporter, importer, import_rep AS qty FROM flow WHERE importer <> exporter AND import_rep > 0)
     , n0 AS (SELECT coalesce(p.item, x.item, m.item) AS item, coalesce(p.yr, x.yr, m.yr) AS yr, coalesce(p.iso3, x.iso3, m.iso3) AS iso3, coalesce(p.production, 0) AS grown, coalesce(x.q, 0) AS wanted, coalesce(m.q, 0) AS arrived
        FROM production p FULL JOIN (SELECT item, yr, exporter AS iso3, sum(qty) AS q FROM e GROUP BY 1, 2, 3) x ON x.item = p.item AND x.yr = p.yr AND x.iso3 = p.iso3
        FULL JOIN (SELECT item, yr, importer AS iso3, sum(qty) AS q FROM e GROUP BY 1, 2, 3) m ON m.item = coalesce(p.item, x.item) AND m.yr = coalesce(p.yr, x.yr) AND m.iso3 = coalesce(p.iso3, x.iso3))
     """
     for i in range(limit_rounds):
-        sql += f""", n{i + 1} AS (SELECT n.item, n.yr, n.iso3, grown, wanted, coalesce(s.q, 0) AS arrived FROM n{i} n LEFT JOIN
+        sql += f""", n{i + 1} AS MATERIALIZED (SELECT n.item, n.yr, n.iso3, grown, wanted, coalesce(s.q, 0) AS arrived FROM n{i} n LEFT JOIN
           (SELECT e.item, e.yr, e.importer AS iso3, sum(e.qty * {_KEPT}) AS q FROM e JOIN n{i} k ON k.item = e.item AND k.yr = e.yr AND k.iso3 = e.exporter GROUP BY 1, 2, 3) s
           ON s.item = n.item AND s.yr = n.yr AND s.iso3 = n.iso3)"""
-    sql += f""", nodes AS (SELECT *, {_KEPT} AS kept, grown + arrived AS available FROM n{limit_rounds})
+    return sql + f""", nodes AS MATERIALIZED (SELECT *, {_KEPT} AS kept, grown + arrived AS available FROM n{limit_rounds})
     , route AS (SELECT e.item, e.yr, e.exporter, e.importer, e.qty * kept / available AS leaves FROM e JOIN nodes k ON k.item = e.item AND k.yr = e.yr AND k.iso3 = e.exporter WHERE available > 0 AND kept > 0)
-    , p0 AS (SELECT item, yr, iso3 AS origin, iso3 AS spot, grown AS amount FROM nodes WHERE grown > 0)"""
-    for i in range(rounds):
-        sql += f""", p{i + 1} AS (SELECT item, yr, origin, spot, sum(amount) AS amount FROM (SELECT * FROM p0 UNION ALL
-          SELECT p.item, p.yr, p.origin, r.importer, p.amount * r.leaves FROM p{i} p JOIN route r ON r.item = p.item AND r.yr = p.yr AND r.exporter = p.spot) GROUP BY 1, 2, 3, 4)"""
-    return sql + f"""SELECT p.item, p.yr, p.origin, p.spot AS consumer, round(amount * greatest((available - kept * wanted) / available, 0), 4) AS supply
-      FROM p{rounds} p JOIN nodes k ON k.item = p.item AND k.yr = p.yr AND k.iso3 = p.spot WHERE available > 0 AND amount * greatest((available - kept * wanted) / available, 0) > 1e-6"""
+    , p(step, item, yr, origin, spot, amount) AS (SELECT 0, item, yr, iso3, iso3, grown::DOUBLE FROM nodes WHERE grown > 0 UNION ALL
+        SELECT p.step + 1, p.item, p.yr, p.origin, r.importer, sum(p.amount * r.leaves) FROM p JOIN route r ON r.item = p.item AND r.yr = p.yr AND r.exporter = p.spot WHERE p.step < {rounds} GROUP BY ALL)
+    , got AS (SELECT item, yr, origin, spot, sum(amount) AS amount FROM p GROUP BY 1, 2, 3, 4)
+    , home AS (SELECT item, yr, iso3, CASE WHEN kept < 1 OR (available - wanted) / available < 1e-12 THEN 0 ELSE (available - wanted) / available END AS stays FROM nodes WHERE available > 0)
+    SELECT got.item, got.yr, origin, spot AS consumer, {rounded_sql('amount * stays', 4)} AS supply FROM got JOIN home k ON k.item = got.item AND k.yr = got.yr AND k.iso3 = got.spot WHERE stays > 0"""
 
 
 def _edges(spark, d):
     return derived(spark, d, "flow").select("item", "yr", "exporter", "importer", F.col("import_rep").alias("qty"))
 
 
-@query("trd08_re_export", _re_export_sql(3, 4))
+@query("trd08_re_export", _re_export_sql(30, 80))
 def trd08(spark, d):
-    out = rx.re_export(derived(spark, d, "production"), _edges(spark, d), ["item", "yr"], rounds=4, limit_rounds=3)
-    return _r(out.where("supply > 1e-6"), ["item", "yr", "origin", "consumer"], "supply", digits=4)
+    out = rx.solved(derived(spark, d, "production"), _edges(spark, d), ["item", "yr"])
+    return out.select("item", "yr", "origin", "consumer", rounded("supply", 4))
 
 
-@query("trd08_re_export_converged")
-def trd08_converged(spark, d):
-    out = rx.re_export(derived(spark, d, "production"), _edges(spark, d), ["item", "yr"])
-    return _r(out, ["item", "yr", "origin", "consumer"], "supply", digits=4)
+@query("trd08_re_export_series")
+def trd08_series(spark, d):
+    """The series, settled, next to the solution of the system."""
+    p, e, pair = derived(spark, d, "production"), _edges(spark, d), ["item", "yr", "origin", "consumer"]
+    out = rx.re_export(p, e, ["item", "yr"]).join(rx.solved(p, e, ["item", "yr"]).withColumnRenamed("supply", "direct"), pair, "full")
+    return out.select(*pair, "supply", "direct", "residual")
 
 
 SPLITS = {"Brand#1": (["Brand#1"], ["Brand#2"]), "Brand#3": (["Brand#3", "Brand#4"], ["Brand#5", "Brand#6"]), "Brand#7": (["Brand#7"], [])}

@@ -125,15 +125,39 @@ def _rarest(batch: str, exclude: str = "") -> str:
     SELECT h.id, h.pos, r.category AS food_category FROM h LEFT JOIN r ON r.id = h.id AND r.pos = h.pos AND r.k = 1"""
 
 
-@query("txt12_match", ctes("ing") + f", h AS (SELECT id, pos, {_HITS} FROM ing)" + _rarest("0"))
+#: Terms and categories of a keyword file's size: the words above, and numbers that some names hold.
+N_TERMS, N_CATEGORIES = 5_000, 60
+MANY = [(f"Kind {c}", [str(10_000 + k * 7_919 % 90_000) for k in range(c, N_TERMS, N_CATEGORIES)] + [t for i, (_, w) in enumerate(WORDS) if i == c for t in w]) for c in range(N_CATEGORIES)]
+_CODED = "value || ' ' || CAST((id * 7919 + pos * 104729) % 1000003 AS {text}) AS value"
+
+
+def _many_sql(table: str, batch: str) -> str:
+    words = ", ".join(f"('{t}', {i})" for i, (_, terms) in enumerate(WORDS) for t in terms)
+    return ctes(table) + f""", v AS (SELECT id, pos, {batch} AS b, {_CODED.format(text='VARCHAR')} FROM {table}),
+    t(term, seq) AS (SELECT CAST(10000 + k * 7919 % 90000 AS VARCHAR), k % {N_CATEGORIES} FROM (SELECT unnest(range({N_TERMS})) AS k) UNION ALL VALUES {words}),
+    hit AS (SELECT DISTINCT d.value, seq FROM (SELECT DISTINCT value FROM v) d JOIN t ON contains(d.value, t.term)),
+    c AS (SELECT b, seq, count(*) AS n FROM v JOIN hit ON hit.value = v.value GROUP BY b, seq),
+    r AS (SELECT v.id, v.pos, hit.seq, row_number() OVER (PARTITION BY v.id, v.pos ORDER BY c.n, hit.seq) AS k FROM v JOIN hit ON hit.value = v.value JOIN c ON c.b = v.b AND c.seq = hit.seq)
+    SELECT v.id, v.pos, 'Kind ' || r.seq AS food_category FROM v LEFT JOIN r ON r.id = v.id AND r.pos = v.pos AND r.k = 1"""
+
+
+def _coded(spark, d, table: str, *more: str):
+    return derived(spark, d, table).select("id", "pos", *more, F.expr(_CODED.format(text="STRING")))
+
+
+@query("txt12_match", _many_sql("ing", "0"))
 def txt12(spark, d):
+    return mt.match_categories(_coded(spark, d, "ing"), "value", MANY).select("id", "pos", "food_category")
+
+
+@query("txt12_match_few", ctes("ing") + f", h AS (SELECT id, pos, {_HITS} FROM ing)" + _rarest("0"))
+def txt12_few(spark, d):
     return mt.match_categories(derived(spark, d, "ing").select("id", "pos", "value"), "value", WORDS).select("id", "pos", "food_category")
 
 
-@query("jon09_match_by_department", ctes("ingprod") + f", h AS (SELECT id, pos, department, {_HITS} FROM ingprod)" + _rarest("department"))
+@query("jon09_match_by_department", _many_sql("ingprod", "department"))
 def jon09(spark, d):
-    i = derived(spark, d, "ingprod").select("id", "pos", "value", "department")
-    return mt.match_categories(i, "value", WORDS, ["department"]).select("id", "pos", "food_category")
+    return mt.match_categories(_coded(spark, d, "ingprod", "department"), "value", MANY, ["department"]).select("id", "pos", "food_category")
 
 
 @query(
@@ -305,6 +329,49 @@ def txt33(spark, d):
     return derived(spark, d, "ing").select("id", "pos", mt.adopted_percent(F.col("percent0"), text, F.col("pos")).alias("percent"))
 
 
+N_RULES = 2_280
+
+
+def class_rules(n: int = N_RULES) -> list[dict]:
+    """Rules of the kinds that label files hold, by formula: terms of the name and the ingredients, exclusions, labels so far, a second alternative."""
+    out = []
+    for k in range(n):
+        first = [ru.atom("name", "contains", f"{100 + k * 37 % 900}")]
+        if k % 3:
+            first.append(ru.atom("ingredients", "contains", f"{k * 53 % 100:02}%"))
+        if k % 4 == 1:
+            first.append(ru.atom("ingredients", "contains", WORDS[k % 5][1][0], True))
+        if k % 5 == 2:
+            first.append(ru.atom("label", "equals", f"Class {k * 11 % 40}", k % 2 == 1))
+        second = [[ru.atom("name", "contains", f"{10_000 + k * 61 % 50_000}"), ru.atom("ingredients", "starts", WORDS[k % 5][1][-1])]] if k % 6 == 0 else []
+        out.append(ru.rule(f"Class {k % 40}", first, *second))
+    return out
+
+
+def _rules_sql() -> str:
+    rows = []
+    for r in class_rules():
+        one, two = r["any"][0], (r["any"][1] if len(r["any"]) > 1 else None)
+        part = lambda tests, field, negate: next((f"'{a['value']}'" for a in tests or [] if a["field"] == field and a["negate"] == negate), "NULL")
+        rows.append(f"{{'n': {part(one, 'name', False)}, 'i': {part(one, 'ingredients', False)}, 'x': {part(one, 'ingredients', True)}, 'l': {part(one, 'label', False)}, 'm': {part(one, 'label', True)}, 'p': {part(two, 'name', False)}, 's': {part(two, 'ingredients', False)}, 't': '{r['target']}'}}")
+    first = "{'n': NULL, 'i': NULL, 'x': NULL, 'l': NULL, 'm': NULL, 'p': NULL, 's': NULL, 't': 'none'}"
+    holds = """(contains(name, r.n) AND (r.i IS NULL OR contains(ing, r.i)) AND (r.x IS NULL OR NOT contains(ing, r.x)) AND (r.l IS NULL OR a.t = r.l) AND (r.m IS NULL OR a.t <> r.m))
+      OR (r.p IS NOT NULL AND contains(name, r.p) AND starts_with(ing, r.s))"""
+    same = ", ".join(f"'{c}': a.{c}" for c in "nixlmps")
+    return ctes("txt") + f""", items AS (SELECT id, 'product ' || id AS name, coalesce(lower(ingredients_text), '') AS ing FROM txt),
+    rules AS (SELECT [{', '.join(rows)}] AS list)
+    SELECT id, (list_reduce(list_prepend({first}, rules.list), lambda a, r: {{{same}, 't': CASE WHEN {holds} THEN r.t ELSE a.t END}})).t AS label FROM items, rules"""
+
+
+def _labelled_items(spark, d):
+    return derived(spark, d, "txt").select("id", F.concat(F.lit("product "), F.col("id").cast("string")).alias("name"), "ingredients_text", F.lit("none").alias("before"))
+
+
+@query("cls04_rules", _rules_sql())
+def cls04(spark, d):
+    return ru.labelled(_labelled_items(spark, d), class_rules(), "before", "name", "ingredients_text").select("id", "label")
+
+
 CLASS_RULES = [
     ru.rule("Rings", [ru.atom("name", "contains", "ring")]),
     ru.rule("Big", [ru.atom("name", "starts", "large"), ru.atom("label", "equals", "Rings", True)]),
@@ -313,11 +380,11 @@ CLASS_RULES = [
 
 
 @query(
-    "cls04_rules",
+    "cls04_rules_few",
     """SELECT p_partkey, CASE WHEN (l2 IN ('Rings', 'Big') AND p_type = 'PROMO') OR p_name = 'cold bolt' THEN 'Ring or bolt' ELSE l2 END AS label
        FROM (SELECT *, CASE WHEN p_name LIKE 'large%' AND l1 <> 'Rings' THEN 'Big' ELSE l1 END AS l2
              FROM (SELECT *, CASE WHEN p_name LIKE '%ring%' THEN 'Rings' ELSE p_brand END AS l1 FROM part))""",
 )
-def cls04(spark, d):
+def cls04_few(spark, d):
     p = derived(spark, d, "part")
     return p.select("p_partkey", ru.apply_rules(CLASS_RULES, F.col("p_brand"), F.upper("p_name"), F.col("p_type")).alias("label"))

@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, IDF, PCA, IndexToString, StringIndexer, Tokenizer
+from pyspark.ml.feature import IDF, PCA, IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.draws import key_number
 from larder.operators.metrics import class_weights, classification_metrics, cosine
 from larder.operators.ordering import split_flag
 from larder.operators.relational import bounded_rows, keep_first
@@ -296,6 +297,13 @@ def principal_components(df: DataFrame, share: float = 0.8, array: str = "embedd
 
 
 def text_vectors(df: DataFrame, text: str, size: int = 1024) -> DataFrame:
-    """Hashed term counts weighted by rarity."""
-    stages = [Tokenizer(inputCol=text, outputCol="__words"), HashingTF(inputCol="__words", outputCol="__tf", numFeatures=size), IDF(inputCol="__tf", outputCol="features")]
-    return Pipeline(stages=stages).fit(df).transform(df).drop("__words", "__tf")
+    """Hashed term counts weighted by rarity; words end at white space, and a word's place is its digest modulo ``size``."""
+    place = lambda w: (key_number(w) % size).cast("int")
+    counted = df.withColumn("__places", F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s"), place))
+
+    @F.pandas_udf("array<double>")
+    def counts(places: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(p, minlength=size).astype(float) for p in places])
+
+    counted = counted.withColumn("__tf", array_to_vector(counts("__places")))
+    return IDF(inputCol="__tf", outputCol="features").fit(counted).transform(counted).drop("__places", "__tf")

@@ -1,7 +1,13 @@
-"""Language of a text by a learned word profile, and translation through a cache."""
+"""Language of a text by a learned word profile or by character grams, and translation through a cache."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +64,77 @@ def translated(df: DataFrame, text: str, cache: DataFrame, out: str) -> DataFram
     failed = F.col("translation").isNull() | F.lower("translation").contains("error:")
     distinct = distinct.select(F.col("text").alias(text), F.when(failed, F.col("text")).when(F.col("translation") == "na", "").otherwise(F.col("translation")).alias(out))
     return df.join(distinct, text, "left")
+
+
+#: Buckets of hashed grams, the factor of their hash, and characters of a text that are hashed at a time.
+BUCKETS, FACTOR, PIECE = 1 << 16, 4_099, 1 << 20
+
+
+def gram_buckets(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the runs of 1, 2 and 3 characters of the lower-cased text with a blank at either end.
+
+    A run's hash takes its code points in turn: ``h = h * FACTOR + code``; the bucket is ``h % BUCKETS``.
+    """
+    padded = f" {text.lower()} "
+    for start in range(0, len(padded), PIECE):
+        piece = padded[start : start + PIECE + 2]  # the last two runs of a piece reach into the next one
+        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        last, h = start + PIECE >= len(padded), np.zeros(len(codes), np.int64)
+        for n in range(1, 4):
+            h = h[: len(codes) - n + 1] * FACTOR + codes[n - 1 :]
+            yield (h if last else h[:PIECE]) % BUCKETS
+
+
+@dataclass(frozen=True)
+class GramModel:
+    """Log-probabilities of gram buckets per language, with one count added to each bucket; languages in order of name."""
+
+    languages: list[str]
+    logs: np.ndarray
+
+    def scores(self, text: str) -> np.ndarray:
+        return sum((self.logs[:, b].sum(1) for b in gram_buckets(text)), np.zeros(len(self.languages)))
+
+
+def gram_model(labelled: DataFrame, text: str, lang: str) -> GramModel:
+    """Counts of every language's grams over all texts; what comes to the driver is one array per language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for name, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = sums.setdefault(name, np.zeros(BUCKETS, np.int64))
+                for buckets in gram_buckets(t):
+                    own += np.bincount(buckets, minlength=BUCKETS)
+        for name, own in sums.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
+
+    known = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(counts["lang"].unique())
+    table = np.ones((len(names), BUCKETS))
+    for i, name in enumerate(names):
+        own = counts[counts["lang"] == name]
+        table[i, own["bucket"]] += own["n"]
+    return GramModel(names, np.log(table / table.sum(1, keepdims=True)))
+
+
+def detect_by_grams(df: DataFrame, text: str, model: GramModel, out: str = "language", least: float = 0.5) -> DataFrame:
+    """``df`` with ``out``, the likeliest language, and its probability; 'und' below ``least`` and for texts of one character or none."""
+    told = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("language string, probability double")
+    def best(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            if t is None or len(t.strip()) <= 1 or not told.value.languages:
+                rows.append((UNDETERMINED, None))
+                continue
+            s = told.value.scores(t)
+            p = np.exp(s - s.max())
+            top = int(s.argmax())
+            rows.append((told.value.languages[top] if p[top] / p.sum() >= least else UNDETERMINED, float(p[top] / p.sum())))
+        return pd.DataFrame(rows, columns=["language", "probability"])
+
+    return df.withColumn("__best", best(F.col(text))).withColumns({out: F.col("__best.language"), f"{out}_probability": F.col("__best.probability")}).drop("__best")

@@ -11,6 +11,7 @@ from larder.operators import health, matching
 from larder.operators import impacts as im
 from larder.operators import lca as lc
 from larder.operators import montecarlo as mc
+from larder.operators import simulation as sm
 from larder.session import reliable_checkpoint
 
 
@@ -41,9 +42,10 @@ def monte_carlo(items: DataFrame, lca: DataFrame, reps: int = mc.REPETITIONS, se
     number = F.xxhash64(*im.PRODUCT).bitwiseAND(F.lit(2**62 - 1))
     keys = ["product", *im.PRODUCT]
     observations = reliable_checkpoint(mc.prepared(lca))
-    drawn = mc.ingredient_impacts(mc.sampled(frame.withColumn("product", number), observations, reps, seed))
-    totals = mc.composite(mc.totals_per_product(drawn, keys), observations)
-    return mc.statistics(totals, keys, reps).drop("product"), mc.contributions(drawn, keys).drop("product")
+    frame = reliable_checkpoint(frame.withColumn("product", number))
+    kept = [f"{n}_{i}" for i in lc.INDICATORS for n in ("mean", "se", "lower_ci", "upper_ci", *mc.RANKS)]
+    stats = sm.statistics(frame, observations, keys, reps, seed).select(*im.PRODUCT, *kept)
+    return stats, sm.contributions(frame, observations, keys, reps, seed).drop("product")
 
 
 def servings(products: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def supply_by_origin(production: DataFrame, reports: DataFrame, area: DataFrame,
     flows = flows.withColumn("importer", area_code(F.col("importer"))).withColumn("exporter", area_code(F.col("exporter")))
     edges = reliable_checkpoint(trade.reconcile(flows).select("item", "yr", "exporter", "importer", "qty"))
     grown = trade.production(production.where(F.col("yr").isin(years)), area)
-    supply = reexport.re_export(grown, edges, ["item", "yr"])
+    supply = reexport.solved(grown, edges, ["item", "yr"]).drop("residual")
     out = trade.assemble_categories(supply, categories, ["origin", "consumer"], "supply", years, share, "origin")
     return out.select("category", "consumer", F.col("origin").alias("supplier"), F.col("supply").alias("qty"))
 

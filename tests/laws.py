@@ -74,14 +74,53 @@ def _components(rows) -> bool:
     return _unique(rows, "vec_id") and len({r["k"] for r in rows}) == 1 and 0 < rows[0]["k"] <= 64
 
 
-def _no_negative(rows) -> bool:
-    return all(v >= -1e-9 for r in rows for v in r if isinstance(v, float))
+def _same_supply(rows) -> bool:
+    """The series and the direct solution agree, and no production ends nowhere."""
+    close = all(abs((r["supply"] or 0) - (r["direct"] or 0)) <= 1e-5 * max(1, r["direct"] or 0) for r in rows)
+    return _unique(rows, "item", "yr", "origin", "consumer") and close and all((r["residual"] or 0) < 1e-9 for r in rows)
+
+
+def _draws(rows) -> bool:
+    """All repetitions (seafood: half of them) of every ingredient, on more than one observation where there are any."""
+    return _unique(rows, "product", "food_category", "food_category_sub", "food_category_sub_sub", "organic", "pool") and all(
+        r["draws"] in (1500, 3000) and 1 <= r["observations"] <= r["draws"] and r["least_obs"] <= r["greatest_obs"] and 0 <= r["low"] < r["high"] and (r["observations"] == 1) == (r["least_obs"] == r["greatest_obs"]) for r in rows)
+
+
+def _points(rows) -> bool:
+    return _unique(rows, "pool") and all(r["draws"] % 1500 == 0 and 0 <= r["low"] < r["high"] for r in rows)
+
+
+def _ordered(*names):
+    """Per product: the named statistics in rising order, for each thing that they are told of."""
+
+    def law(rows) -> bool:
+        things = [c.removeprefix(f"{names[0]}_") for c in rows[0].asDict() if c.startswith(f"{names[0]}_")]
+        up = all(r[f"{a}_{t}"] <= r[f"{b}_{t}"] + 1e-4 for r in rows for t in things for a, b in zip(names, names[1:], strict=False))
+        return bool(things) and _unique(rows, "product") and up and any(r[f"{names[0]}_{t}"] < r[f"{names[-1]}_{t}"] for r in rows for t in things)
+
+    return law
+
+
+def _ranks(rows) -> bool:
+    """Whole repetitions by one score: the means of the scored indicators rise from the least to the greatest rank."""
+    names, scored = ["min", "lower_fifth", "fifty", "upper_ninetyfifth", "max"], ["ghg", "eut", "watscar", "land"]
+    mean = lambda n, i: sum(r[f"{n}_{i}"] for r in rows)
+    return _unique(rows, "product") and all(sum(mean(a, i) for i in scored) < sum(mean(b, i) for i in scored) for a, b in zip(names, names[1:], strict=False))
+
+
+def _shares(rows) -> bool:
+    sums = defaultdict(float)
+    for r in rows:
+        sums[r["product"]] += r["ghg"]
+    return _unique(rows, "product", "food_category") and all(abs(s - 1) < 1e-4 for s in sums.values()) and any(r["ghg"] < 0.9 for r in rows)
 
 
 LAWS = {
     "cls01_forest": _is_class("top", "pred"), "cls02_network": _is_class("top", "pred"), "cls03_hierarchical": _hierarchy,
     "cls05_discriminant": _is_class("low", "pred"), "cls06_per_level": _levels, "cls07_bake_off": _bake_off, "cls08_grid_search": _grid,
-    "cls10_text_vectors": lambda rows: _unique(rows, "doc_id") and {r["size"] for r in rows} == {256}, "cls16_stored_models": _stored,
+    "cls16_stored_models": _stored,
     "cmp01_composition": _composition, "cmp09_sum_to_100": _sums, "cmp10_embedded": _places, "cmp11_hidden_check": _hidden,
-    "ing02_product_table": _both_databases, "sta08_pca": _components, "trd08_re_export_converged": _no_negative,
+    "ing02_product_table": _both_databases, "sta08_pca": _components, "trd08_re_export_series": _same_supply,
+    "mc02_weighted_draws": _draws, "jon13_draw_points": _points, "mc05_product_totals": _ordered("least", "mean", "most"), "mc06_composite": _ordered("least", "mean", "most"),
+    "mc07_statistics": _ordered("lower_ci", "mean", "upper_ci"), "win05_rank_rows": _ranks, "mc08_contributions": _shares,
 }

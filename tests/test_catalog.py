@@ -7,7 +7,7 @@ from tests.compare import difference, duck
 from tests.laws import LAWS
 
 # seconds each rather than milliseconds; run them with `python -m tests.compare`
-SLOW = {"cmp01_composition", "cmp10_embedded", "trd08_re_export_converged"}
+SLOW = {"cmp01_composition", "cmp10_embedded"}
 
 
 @pytest.fixture(scope="module")
