@@ -239,32 +239,34 @@ _REG = """
     sum(CASE WHEN percent0 IS NOT NULL THEN 1.0 / (pos * pos * pos * pos) END) AS xx1, sum(percent0 / (pos * pos)) AS xy1,
     sum(CASE WHEN percent0 IS NOT NULL THEN pos END) AS x3, sum(CASE WHEN percent0 IS NOT NULL THEN pos * pos END) AS xx3, sum(percent0 * pos) AS xy3,
     count(DISTINCT CASE WHEN percent0 IS NOT NULL THEN pos END) AS seen, max(pos) AS last FROM ingprod WHERE pos <= 15 GROUP BY 1, 2, 3)
-, f AS (SELECT *, xy1 / xx1 AS b1, xy2 / xx2 AS b2, (xy3 - x3 * y / n) / nullif(xx3 - x3 * x3 * 1.0 / n, 0) AS b3 FROM g WHERE n > 2)
-, a AS (SELECT *, 1 - greatest(yy - b1 * xy1, 0) / yy * n / (n - 1) AS r1, 1 - greatest(yy - b2 * xy2, 0) / yy * n / (n - 1) AS r2,
-     1 - greatest(yy - y * y / n - b3 * (xy3 - x3 * y / n), 0) / (yy - y * y / n) * (n - 1) / (n - 2) AS r3 FROM f)
+, f AS (SELECT *, xy1 / nullif(xx1, 0) AS b1, xy2 / nullif(xx2, 0) AS b2, (xy3 - x3 * y / nullif(n, 0)) / nullif(xx3 - x3 * x3 * 1.0 / nullif(n, 0), 0) AS b3 FROM g)
+, a AS (SELECT *, CASE WHEN b1 IS NOT NULL THEN 1 - greatest(yy - b1 * xy1, 0) / nullif(yy, 0) * n / nullif(n - 1, 0) END AS r1, CASE WHEN b2 IS NOT NULL THEN 1 - greatest(yy - b2 * xy2, 0) / nullif(yy, 0) * n / nullif(n - 1, 0) END AS r2,
+     CASE WHEN b3 IS NOT NULL THEN 1 - greatest(yy - y * y / n - b3 * (xy3 - x3 * y / n), 0) / nullif(yy - y * y / n, 0) * (n - 1) / nullif(n - 2, 0) END AS r3 FROM f)
+, best AS (SELECT *, greatest(r1, r2, r3) AS m FROM a)
 """
+#: 97.5% point of Student's t for any n - 1 degrees of freedom.
+T_ANY_SQL = "CASE n - 1 " + " ".join(f"WHEN {i + 1} THEN {t}::DOUBLE" for i, t in enumerate(s.T_975)) + f" ELSE {T_SQL.replace('(n-1)', 'nullif(n-1, 0)')} END"
 
 
 @query(
     "sta01_regression",
-    ctes("ingprod") + _REG + """SELECT retailer, department, aisle, n, CAST(CASE WHEN r1 >= r2 AND r1 >= r3 THEN 1 WHEN r2 >= r3 THEN 2 ELSE 3 END AS INT) AS form,
-      round(CASE WHEN r1 >= r2 AND r1 >= r3 THEN b1 WHEN r2 >= r3 THEN b2 ELSE b3 END, 5) AS slope, round(greatest(r1, r2, r3), 5) AS adj_r2 FROM a""",
+    ctes("ingprod") + _REG + """SELECT retailer, department, aisle, n, CAST(CASE WHEN r1 = m THEN 1 WHEN r2 = m THEN 2 WHEN r3 = m THEN 3 END AS INT) AS form,
+      round(CASE WHEN r1 = m THEN b1 WHEN r2 = m THEN b2 WHEN r3 = m THEN b3 END, 5) AS slope, round(m, 5) AS adj_r2 FROM best""",
 )
 def sta01(spark, d):
-    fits = rg.position_regression(derived(spark, d, "ingprod"), ["retailer", "department", "aisle"], "pos", "percent0").where("n > 2")
+    fits = rg.position_regression(derived(spark, d, "ingprod"), ["retailer", "department", "aisle"], "pos", "percent0")
     return fits.select("retailer", "department", "aisle", "n", "form", F.round("slope", 5).alias("slope"), F.round("adj_r2", 5).alias("adj_r2"))
 
 
 @query(
     "sta02_power_only",
-    ctes("ingprod") + _REG + "SELECT retailer, department, aisle, round(b1, 5) AS slope, r1 > 0.5 AND b1 / sqrt(greatest(yy - b1 * xy1, 0) / (n - 1) / xx1) > " + T_SQL + """ AND seen * 1.0 / last >= 0.5 AND last > 5 AS accepted
-      FROM a WHERE n > 12""",
+    ctes("ingprod") + _REG + "SELECT retailer, department, aisle, n, CASE WHEN r1 IS NOT NULL THEN round(b1, 5) END AS slope, coalesce(r1 > 0.5 AND abs(b1) > (" + T_ANY_SQL + """) * sqrt(greatest(yy - b1 * xy1, 0) / nullif(n - 1, 0) / nullif(xx1, 0)) AND seen * 1.0 / last >= 0.5 AND last > 5, false) AS accepted FROM a""",
 )
 def sta02(spark, d):
     fits = rg.position_regression(
         derived(spark, d, "ingprod"), ["retailer", "department", "aisle"], "pos", "percent0", forms=(1,), min_adj_r2=0.5, strict_last=True,
-    ).where("n > 12")
-    return fits.select("retailer", "department", "aisle", F.round("slope", 5).alias("slope"), "accepted")
+    )
+    return fits.select("retailer", "department", "aisle", "n", F.round("slope", 5).alias("slope"), "accepted")
 
 
 @query(

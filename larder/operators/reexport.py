@@ -133,9 +133,8 @@ def supply_matrix(grown: np.ndarray, flows: np.ndarray) -> tuple[np.ndarray, np.
 def solved(production: DataFrame, edges: DataFrame, groups: list[str], countries: int = COUNTRIES) -> DataFrame:
     """Supply by origin: ``(groups, origin, consumer, supply, residual)``, every pair with any way between them.
 
-    Each group is one linear system. ``residual`` is the part of the origin's production that ends nowhere: what rounding
-    leaves, and all that runs into a ring of countries that ship everything they have. Groups of more than ``countries``
-    countries go by the series, whose residual is null.
+    Each group is one linear system. ``residual`` is the part of the origin's production that the solution leaves without
+    a consumer. Groups of more than ``countries`` countries go by the series, whose residual is null.
     """
     kind, key = production.schema["iso3"].dataType, [*groups]
     grown = production.groupBy(*groups, "iso3").agg(F.sum("production").cast("double").alias("qty")).where("qty > 0").select(*groups, F.col("iso3").alias("a"), F.lit(None).cast(kind).alias("b"), "qty")
