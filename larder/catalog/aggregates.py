@@ -8,6 +8,7 @@ from larder.catalog.registry import query, rounded, rounded_sql
 from larder.fixtures import ctes, derived
 from larder.operators import regression as rg
 from larder.operators import relational as r
+from larder.operators import sketches as sk
 from larder.operators import summaries as s
 
 
@@ -145,6 +146,28 @@ def agg15(spark, d):
     return out.select("p_type", "n", F.round("mean_x", 6).alias("mean_x"), F.round("se_x", 6).alias("se_x"), F.round("lower_ci_x", 5).alias("lower_ci_x"), F.round("upper_ci_x", 5).alias("upper_ci_x"))
 
 
+_PROFILED = ["l_quantity", "l_extendedprice", "l_partkey", "l_suppkey"]
+
+
+def _ranks_sql(c: str) -> str:
+    return f"SELECT '{c}' AS \"column\", count({c}) AS n, round(min({c}), 6)::DOUBLE AS least, round(max({c}), 6)::DOUBLE AS most, round(avg({c}), 4) AS mean, true AS distinct_holds, true AS quantiles_hold FROM lineitem"
+
+
+@query("agg16_sketched_profile", " UNION ALL ".join(_ranks_sql(c) for c in _PROFILED))
+def agg16_sketched(spark, d):
+    """Merged sketches of the table's parts, and whether they keep their bounds against exact counts and ranks."""
+    lines = derived(spark, d, "lineitem")
+    parts = sk.sketched(lines, ["l_returnflag", "l_linestatus"], _PROFILED)
+    told = sk.described(sk.merged(parts, []), [])
+    exact = lines.agg(*[F.countDistinct(c).alias(c) for c in _PROFILED]).unpivot([], _PROFILED, "column", "exact")
+    long = lines.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in _PROFILED])).alias("x")).select("x.*").where("v IS NOT NULL")
+    bounds = long.join(told.select("column", "q25", "q50", "q75"), "column").groupBy("column").agg(*[f(F.avg((F.col("v") < F.col(q)).cast("double")), F.avg((F.col("v") <= F.col(q)).cast("double"))).alias(f"hold{q}") for q, f in
+        [(q, lambda low, high, p=p: (low <= p + sk.RANK_ERROR) & (high >= p - sk.RANK_ERROR)) for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]])
+    out = told.join(exact, "column").join(bounds, "column")
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.col("exact") * sk.DISTINCT_ERROR, F.lit(1))
+    return out.select("column", "n", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), F.round("mean", 4).alias("mean"), near.alias("distinct_holds"), (F.col("holdq25") & F.col("holdq50") & F.col("holdq75")).alias("quantiles_hold"))
+
+
 def _described(c):
     return (
         f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_share, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, "

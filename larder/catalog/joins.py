@@ -11,6 +11,8 @@ from larder.operators import lists as li
 from larder.operators import ordering as o
 from larder.operators import relational as r
 from larder.operators import trade as tr
+from larder.session import scratch_path
+from larder.sources import versioned
 
 
 @query(
@@ -177,6 +179,19 @@ def set04(spark, d):
     return r.replace_rows(p, p.where("p_partkey % 5 = 0").withColumn("p_type", F.lit("CORRECTED")), ["p_partkey"])
 
 
+@query(
+    "set04_upsert",
+    "SELECT p_partkey, CASE WHEN p_partkey % 97 = 0 THEN 'CORRECTED' ELSE p_type END AS p_type FROM part UNION ALL SELECT max(p_partkey) + 1, 'NEW' FROM part",
+)
+def set04_upsert(spark, d):
+    """Corrections to a stored table rewrite only the buckets that they touch."""
+    path, p = scratch_path(spark, "parts"), derived(spark, d, "part").select("p_partkey", "p_type")
+    versioned.create(p, path, ["p_partkey"])
+    versioned.upsert(p.where("p_partkey % 97 = 0").withColumn("p_type", F.lit("CORRECTED")), path)
+    versioned.upsert(p.agg((F.max("p_partkey") + 1).alias("p_partkey"), F.lit("NEW").alias("p_type")), path)
+    return versioned.read_version(spark, path)
+
+
 @query("set05_id_union", "SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 45 UNION SELECT p_partkey FROM part WHERE p_size > 40")
 def set05(spark, d):
     a = derived(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))
