@@ -137,11 +137,6 @@ def quality_classifier_query(spark, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-@query("op6_sharding")
-def sharding_query(spark, sf_dir: str) -> DataFrame:
-    return sharding.sharded(table(spark, sf_dir, "documents"), 40).withColumnRenamed("id", "doc_id")
-
-
 @query("op3_pii")
 def pii_query(spark, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents")).withColumn("base", F.expr("filter(spans, s -> s.kind <> 'context')"))
@@ -243,3 +238,26 @@ def repair_query(spark, sf_dir: str) -> DataFrame:
 @query("op12_jaccard_join", _linked_sql(90))
 def jaccard_join_query(spark, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"), width=3, percent=90).withColumnRenamed("id", "doc_id")
+
+
+def _shards_sql() -> str:
+    u = lambda name: f"(('0x' || substr(md5(k || '|' || {name}), 1, 8))::BIGINT + 0.5) / 4294967296.0"
+    least = lambda name: f"arg_min({name}, -ln({u(name)}) / w)"
+    placed = lambda tree: f"""{tree}_region AS (SELECT k, {least('region')} region FROM keys, (SELECT region, count(*)::DOUBLE w FROM {tree} GROUP BY 1) GROUP BY k),
+{tree}_rack AS (SELECT k, region, {least('rack')} rack FROM {tree}_region JOIN (SELECT region, rack, count(*)::DOUBLE w FROM {tree} GROUP BY ALL) USING (region) GROUP BY ALL),
+{tree}_shard AS (SELECT k, {least('shard')} shard FROM {tree}_rack JOIN (SELECT rack, shard, 1.0 w FROM {tree}) USING (rack) GROUP BY k)"""
+    codes = "list_transform(regexp_extract_all(hex(encode(d.t)), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"""
+WITH crc AS {_CRC_TABLE},
+docs AS (SELECT doc_id, coalesce(text, '') t, coalesce(doc_id::VARCHAR, 'text ' || sha256(coalesce(text, ''))) k FROM documents), keys AS (SELECT DISTINCT k FROM docs),
+tree AS (SELECT 'region' || (i // 10) region, 'rack' || (i // 5) rack, 'shard' || i shard FROM range(40) r(i)), grown AS (FROM tree UNION ALL SELECT 'region-of-shard40', 'rack-of-shard40', 'shard40'),
+{placed('tree')}, {placed('grown')},
+sized AS (SELECT doc_id, k, strlen(d.t) + 16 size, xor(list_reduce([4294967295] || {codes}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) text_crc32 FROM docs d, crc)
+SELECT doc_id, size::BIGINT size, text_crc32::BIGINT text_crc32, 'key' law, substr(a.shard, 6)::INTEGER shard, row_number() OVER (PARTITION BY a.shard ORDER BY md5('slot|' || k), doc_id, size, text_crc32) - 1 slot, substr(b.shard, 6)::INTEGER grown_shard
+FROM sized JOIN tree_shard a USING (k) JOIN grown_shard b USING (k)
+"""
+
+
+@query("op6_sharding", _shards_sql())
+def sharding_query(spark, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), 40).withColumnRenamed("id", "doc_id")
