@@ -35,7 +35,7 @@ REACH, AROUND = 128, 512
 #: Characters of candidates, and their least number once other than letters and digits is cut off their ends.
 CANDIDATE, SHORTEST = re.compile(r"[!#$%&*+./0-9=?A-Z\\^_a-z|~-]{8,}"), 8
 #: Compressed bytes that each character of a candidate must add, and those that come on top.
-NOVEL, EXTRA = 0.55, 4.0
+NOVEL, EXTRA = 0.55, 5.0
 
 #: Identifiers and code that candidates are expected to be made of; callers may pass their own.
 IDENTIFIERS = """
