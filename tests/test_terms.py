@@ -102,7 +102,7 @@ def _series(grown, flows, rounds=4000):
 def test_solved_re_export_equals_the_series(spark):
     """Random systems with exporters that run dry, and mass balance: what an origin grows ends somewhere."""
     rng, production, edges, want = np.random.default_rng(5), [], [], {}
-    for g in range(6):
+    for g in range(4):
         n = int(rng.integers(2, 9))
         grown = np.round(rng.random(n) * 100 * (rng.random(n) < 0.7), 3)
         flows = np.round(rng.random((n, n)) * 40 * (rng.random((n, n)) < 0.5), 3) * (1 - np.eye(n))
