@@ -12,6 +12,7 @@ from larder.operators import impacts as im
 from larder.operators import lca as lc
 from larder.operators import montecarlo as mc
 from larder.operators import simulation as sm
+from larder.operators import summaries as su
 
 PRODUCT = ["id", "product_name", "retailer", "country", "department", "aisle", "shelf"]
 
@@ -229,7 +230,9 @@ def mc06(spark, d, reps):
 
 
 def _mc07_sql(reps: int) -> str:
-    t = {3: 3.182446305284263, 19: 2.0930240544082634, 39: 2.0226909200367595}[reps - 1]
+    n, z = reps - 1, su.Z_975  # the expansion that the query uses; listed for few degrees of freedom
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    t = su.T_975[n - 1] if n <= len(su.T_975) else z + sum(x / n ** (i + 1) for i, x in enumerate(terms))
     half = lambda i: f"{t} * stddev_samp({i}) / sqrt({reps})"
     told = ", ".join(f"{rounded_sql(f'avg({i})', 6)} AS mean_{i}, {rounded_sql(f'stddev_samp({i}) / sqrt({reps})', 6)} AS se_{i}, {rounded_sql(f'avg({i}) - {half(i)}', 4)} AS lower_ci_{i}, {rounded_sql(f'avg({i}) + {half(i)}', 4)} AS upper_ci_{i}" for i in lc.INDICATORS)
     return f"{_draws_sql(reps)}{_TOTALS} SELECT product, {told} FROM tot GROUP BY 1"
