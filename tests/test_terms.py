@@ -144,3 +144,15 @@ def test_gram_buckets_do_not_depend_on_pieces(monkeypatch):
     for piece in (1, 2, 7, 100):
         monkeypatch.setattr(lg, "PIECE", piece)
         assert (np.sort(np.concatenate(list(lg.gram_buckets(text)))) == whole).all()
+
+
+def test_choice_grows_with_hits_and_not_with_rules(spark):
+    """No scan of all rules for each value and no row for each gram; ties and missing batches go as by a sort."""
+    rows = [(1, "ab", "x"), (2, "ab", "x"), (3, "b", "x"), (4, "b c", None), (5, "c", None), (6, "q", None), (7, None, "x")]
+    df = spark.createDataFrame(rows, "id long, value string, shop string")
+    rules = [("first", ["a"]), ("second", ["b"]), ("third", ["c"]), *[(f"none{k}", [f"zz{k}"]) for k in range(250)]]
+    out = mt.match_categories(df, "value", rules, ["shop"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "flatten" not in plan
+    # in x: first 2 rows, second 3; without a shop: second 1, third 2
+    assert {r["id"]: r["food_category"] for r in out.collect()} == {1: "first", 2: "first", 3: "second", 4: "second", 5: "third", 6: None, 7: None}
