@@ -142,7 +142,8 @@ def drop_origin_clauses(text: Column) -> Column:
 def correct_structure(text: Column, max_rounds: int = 10) -> Column:
     """Move every percentage right behind its ingredient, to a fixpoint.
 
-    A text that still changes in round ``max_rounds - 1`` is given up and becomes ''.
+    A text that still changes in round ``max_rounds - 1`` is given up and becomes ''.  NULL stays NULL: ``text`` stands
+    here once, so that the steps before it run once.
     """
     start = rewrite(text, TIDY_STRUCTURE)
     state = F.struct(F.lit(None).cast("string").alias("before"), start.alias("now"))
@@ -153,7 +154,7 @@ def correct_structure(text: Column, max_rounds: int = 10) -> Column:
 
     rounds = F.sequence(F.lit(1), F.lit(max_rounds - 1))
     done = F.aggregate(rounds, state, one_round, lambda s: F.when(s["before"].eqNullSafe(s["now"]), s["now"]).otherwise(""))
-    return F.when(text.isNotNull(), rewrite(done, SPACED))
+    return rewrite(done, SPACED)
 
 
 def drop_traces(text: Column) -> Column:
