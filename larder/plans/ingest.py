@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import cleaning, columns, foods, labels
 from larder.operators.language import UNDETERMINED, detect_languages
 from larder.operators.ordering import surrogate_id
-from larder.operators.relational import keep_first, minimum_frequency
+from larder.operators.relational import evaluated_once, keep_first, minimum_frequency
 from larder.session import reliable_checkpoint
 
 DATE_PREFIX = "29112024"
@@ -37,7 +37,8 @@ def open_products(raw: DataFrame, profile: DataFrame, min_per_country: int = 100
 def cleaned_open(df: DataFrame, text: str) -> DataFrame:
     """All cleaning stages of open data; texts with unusable characters are dropped."""
     t = F.col(text)
-    df = df.withColumn(text, cleaning.drop_origin_clauses(cleaning.clean_ingredients(F.coalesce(t, F.lit("")))))
+    df = evaluated_once(df, {text: cleaning.clean_ingredients(F.coalesce(t, F.lit("")))})
+    df = evaluated_once(df, {text: cleaning.drop_origin_clauses(t)})
     df = df.withColumn("__route", cleaning.quality_route(t)).where("__route <> 'discard'").drop("__route")
     df = df.withColumn(text, cleaning.correct_structure(t))
     df = df.withColumn(text, cleaning.drop_organic_origin(cleaning.drop_traces(t)))
