@@ -161,7 +161,8 @@ def agg16_sketched(spark, d):
     told = sk.described(sk.merged(parts, []), [])
     exact = lines.agg(*[F.countDistinct(c).alias(c) for c in _PROFILED]).unpivot([], _PROFILED, "column", "exact")
     long = lines.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in _PROFILED])).alias("x")).select("x.*").where("v IS NOT NULL")
-    bounds = long.join(told.select("column", "q25", "q50", "q75"), "column").groupBy("column").agg(*[f(F.avg((F.col("v") < F.col(q)).cast("double")), F.avg((F.col("v") <= F.col(q)).cast("double"))).alias(f"hold{q}") for q, f in
+    # one row of ranks per profiled column: rows stay where they are
+    bounds = long.join(F.broadcast(told.select("column", "q25", "q50", "q75")), "column").groupBy("column").agg(*[f(F.avg((F.col("v") < F.col(q)).cast("double")), F.avg((F.col("v") <= F.col(q)).cast("double"))).alias(f"hold{q}") for q, f in
         [(q, lambda low, high, p=p: (low <= p + sk.RANK_ERROR) & (high >= p - sk.RANK_ERROR)) for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]])
     out = told.join(exact, "column").join(bounds, "column")
     near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.col("exact") * sk.DISTINCT_ERROR, F.lit(1))
