@@ -65,7 +65,15 @@ def _choices(n: int, k: int, at_most: int, seed: int) -> list[list[int]]:
     return out
 
 
-def hidden_positions(spark, max_items: int = 50, at_most: int = 100, seed: int = 19) -> DataFrame:
+SEED = 19
+
+
+def hidden_ways(n: int, at_most: int = 100, seed: int = SEED) -> Iterator[tuple[int, list[list[int]]]]:
+    """For a list of n places and every number hidden from 2 on: which places to hide, in at most ``at_most`` ways."""
+    return ((k, _choices(n, k, at_most, seed)) for k in range(2, n + 1))
+
+
+def hidden_positions(spark, max_items: int = 50, at_most: int = 100, seed: int = SEED) -> DataFrame:
     """Which places to hide, per list length n up to ``max_items`` and number hidden k >= 2: ``(n, k, combo, hidden)``.
 
     All combinations when there are at most ``at_most``, else a seeded choice of that many distinct ones.  The table
@@ -75,8 +83,7 @@ def hidden_positions(spark, max_items: int = 50, at_most: int = 100, seed: int =
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for n in b["id"]:
-                for k in range(2, n + 1):
-                    hidden = _choices(int(n), k, at_most, seed)
+                for k, hidden in hidden_ways(int(n), at_most, seed):
                     yield pd.DataFrame({"n": n, "k": k, "combo": range(1, len(hidden) + 1), "hidden": hidden})
 
     lengths = spark.range(2, max_items + 1).repartition(max(1, min(64, max_items - 1)), "id")
