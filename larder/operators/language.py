@@ -11,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.session import reliable_checkpoint
+
 WORD = "[^a-zà-ÿ]+"
 UNDETERMINED = "und"
+#: At most so many words, the most frequent of a profile, have their shares broadcast; the others are joined through the shuffle.
+FREQUENT_WORDS = 200_000
 
 
 def words(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -37,20 +41,32 @@ def detect_languages(df: DataFrame, key: str, profile: DataFrame, columns: dict[
     """The language whose profile fits best, for several texts of a row at once; 'und' for empty or unknown texts.
 
     ``columns`` maps text columns to the columns of their languages.  The profile may be as large as the languages'
-    vocabularies, so how it is joined is left to measured sizes.
+    vocabularies, so only its most frequent words are brought to the texts.
     """
 
     def tagged(column: str) -> Column:
         found = F.split(F.lower(F.coalesce(column, F.lit(""))), WORD)
         return F.transform(found, lambda w: F.struct(F.lit(column).alias("which"), w.alias("word")))
 
-    hits = df.select(key, F.explode(F.flatten(F.array(*map(tagged, columns)))).alias("x")).select(key, "x.*").where("word <> ''").join(profile, "word")
-    scores = hits.groupBy(key, "which", "lang").agg(F.round(F.sum("share"), 9).alias("score"))
+    hits = df.select(key, F.explode(F.flatten(F.array(*map(tagged, columns)))).alias("x")).select(key, "x.*").where("word <> ''")
+    by_word = profile.where("word IS NOT NULL").groupBy("word").agg(F.collect_list(F.struct("lang", "share")).alias("told"), F.max("share").alias("top"))
+    by_word = reliable_checkpoint(by_word)  # read for its most frequent words and for the others
+    languages = by_word.select(F.explode("told.lang").alias("lang")).distinct().count()
+    # shares of a language add up to 1, so there are FREQUENT_WORDS such words at most
+    often = F.col("top") >= languages / FREQUENT_WORDS
+    frequent = F.broadcast(by_word.where(often).select("word", "told"))
+    # a row for each place of a word that most texts have would be most of all rows: those meet their shares before the shuffle
+    near = hits.join(frequent, "word")
+    far = hits.join(frequent.select("word"), "word", "left_anti").join(by_word.where(~often).select("word", "told"), "word")
+    told = near.unionByName(far).select(key, "which", F.inline("told"))
+    scores = told.groupBy(key, "which", "lang").agg(F.round(F.sum("share"), 9).alias("score"))
     best = {c: F.min(F.when(F.col("which") == c, F.struct(-F.col("score"), F.col("lang").alias("lang")))).getField("lang") for c in columns}
     best = scores.groupBy(key).agg(*[v.alias(f"__{out}") for v, out in zip(best.values(), columns.values(), strict=True)])
+    # told before the join, so that texts nobody asks for are not shuffled
+    df = df.withColumns({f"__long_{o}": F.length(F.trim(c)) > 1 for c, o in columns.items()})
     out = df.join(best, key, "left")
-    known = {o: F.when(F.length(F.trim(c)) > 1, F.col(f"__{o}")) for c, o in columns.items()}
-    return out.withColumns({o: F.coalesce(v, F.lit(UNDETERMINED)) for o, v in known.items()}).drop(*[f"__{o}" for o in columns.values()])
+    known = {o: F.when(F.col(f"__long_{o}"), F.col(f"__{o}")) for o in columns.values()}
+    return out.withColumns({o: F.coalesce(v, F.lit(UNDETERMINED)) for o, v in known.items()}).drop(*[f"__{p}{o}" for o in columns.values() for p in ("", "long_")])
 
 
 def detect_language(df: DataFrame, text: str, key: str, profile: DataFrame, out: str = "language") -> DataFrame:

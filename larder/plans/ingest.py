@@ -28,10 +28,12 @@ def open_products(raw: DataFrame, profile: DataFrame, min_per_country: int = 100
     keys = ["__name", "ingredients_text", "country"]
     df = keep_first(df, keys, [F.col("product_name"), *[F.col(c) for c in df.columns if c not in (*keys, "product_name")]])
     df = reliable_checkpoint(surrogate_id(df, keys, DATE_PREFIX).drop("__name"))
+    # what the route asks of the text is told before the languages are joined, so that texts are not shuffled for it
+    df = df.withColumn("__begin", F.substring("ingredients_text", 1, 1))
     df = detect_languages(df, "product_id", profile, {"ingredients_text": "ingredients_language", "product_name": "name_language"})
-    route = foods.language_route(F.col("ingredients_language"), F.col("name_language"), F.col("ingredients_text"))
+    route = foods.language_route(F.col("ingredients_language"), F.col("name_language"), F.col("__begin"))
     # English names over foreign ingredients belong to no route
-    return df.withColumn("route", route).where("route IS NOT NULL")
+    return df.withColumn("route", route).drop("__begin").where("route IS NOT NULL")
 
 
 def cleaned_open(df: DataFrame, text: str) -> DataFrame:
