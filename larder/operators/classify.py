@@ -20,6 +20,8 @@ from larder.operators.ordering import split_flag
 from larder.operators.relational import bounded_rows, keep_first
 
 MAX_CLASSES = 2000
+#: Distances between two blocks that are held at a time.
+DISTANCES = 1 << 20
 
 
 def vectors(df: DataFrame, array: str = "embedding") -> DataFrame:
@@ -244,8 +246,9 @@ def nearest(train: DataFrame, df: DataFrame, key: str, label: str, k: int = 5, a
         a, b = np.stack(left["v"]).astype(float), np.stack(right["v"]).astype(float)
         names, ids, asked = right["label"].to_numpy(), right["t_key"].to_numpy(), left["q_key"].to_numpy()
         square, out = (b * b).sum(1), []
-        for at in range(0, len(a), 256):  # a matrix of 256 rows by one block at a time
-            part = a[at : at + 256]
+        rows_at_once = max(1, min(256, DISTANCES // len(b)))
+        for at in range(0, len(a), rows_at_once):  # a matrix of some rows by one block at a time, and a few copies of it
+            part = a[at : at + rows_at_once]
             dist = np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ b.T, 0).round(12)
             rows, cols = np.nonzero(dist <= np.partition(dist, min(k, len(b)) - 1, axis=1)[:, [min(k, len(b)) - 1]])
             order = np.lexsort((cols, dist[rows, cols], rows))
